@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from granulon.llm import bpe
+from granulon.llm import bpe, simhash
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -21,8 +22,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"), size=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
