@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulon.llm import bpe, simhash
+from granulon.llm import bpe, packing, simhash, tokenfile
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -27,8 +27,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), capacity=2048, end_id=0)
+
+
+def op6_bit_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_best_fit": op4_best_fit, "op6_bit_packed": op6_bit_packed}
 
 
 def oracle_sql() -> dict[str, str]:
