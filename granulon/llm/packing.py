@@ -23,7 +23,7 @@ from granulon.llm import words
 from granulon.llm.common import cut, map_rows, text_of
 
 #: Pieces of one length that a slice of ranks holds, about.
-SLICE = 20_000
+SLICE = 2_000
 
 
 class CapacityTree:
