@@ -57,3 +57,15 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows whose text the function made by make() keeps, with all their columns; null counts as empty."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            yield batch.filter(pa.array(keep([x or "" for x in batch.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

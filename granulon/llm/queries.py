@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulon.llm import bpe, packing, pii, simhash, tokenfile
+from granulon.llm import bpe, packing, pii, rules, simhash, tokenfile
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -42,8 +42,12 @@ def op6_bit_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), end_id=1)
 
 
+def op8_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op8_isolation_rules": op8_isolation_rules}
 
 
 def oracle_sql() -> dict[str, str]:
