@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulon.llm import bpe, ordinal, packing, pii, rules, simhash, tokenfile
+from granulon.llm import bpe, html, ordinal, packing, pii, rules, simhash, tokenfile
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op8_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 #: The graded rating of a labelled document: 0 poor, 1 well written but toxic, 2 well written and clean.
 GRADE, TOP_GRADE = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 WHEN quality = 1 AND toxic = 0 THEN 2 END", 2
 
@@ -56,7 +60,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op8_isolation_rules": op8_isolation_rules, "op10_ordinal_quality": op10_ordinal_quality}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op8_isolation_rules": op8_isolation_rules, "op9_block_rules": op9_block_rules, "op10_ordinal_quality": op10_ordinal_quality}
 
 
 def oracle_sql() -> dict[str, str]:
