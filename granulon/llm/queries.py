@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulon.llm import bpe, html, ordinal, packing, pii, rules, simhash, tokenfile
+from granulon.llm import bpe, html, ordinal, packing, pii, rules, simhash, spotsigs, tokenfile
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(_read(spark, sf_dir, "documents"))
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), capacity=2048, end_id=0)
 
@@ -60,7 +64,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op8_isolation_rules": op8_isolation_rules, "op9_block_rules": op9_block_rules, "op10_ordinal_quality": op10_ordinal_quality}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op3_spotsigs": op3_spotsigs, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op8_isolation_rules": op8_isolation_rules, "op9_block_rules": op9_block_rules, "op10_ordinal_quality": op10_ordinal_quality}
 
 
 def oracle_sql() -> dict[str, str]:
