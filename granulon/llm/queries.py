@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulon.llm import bpe, html, ordinal, packing, pii, rules, simhash, spotsigs, tokenfile
+from granulon.llm import bpe, html, licenses, ordinal, packing, pii, rules, simhash, spotsigs, tokenfile
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -46,6 +46,12 @@ def op6_bit_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), end_id=1)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; a document stands as a file in a directory of its source and language."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(_read(spark, sf_dir, "documents"), path)
+
+
 def op8_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -64,7 +70,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op3_spotsigs": op3_spotsigs, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op8_isolation_rules": op8_isolation_rules, "op9_block_rules": op9_block_rules, "op10_ordinal_quality": op10_ordinal_quality}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op3_spotsigs": op3_spotsigs, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op7_license_scan": op7_license_scan, "op8_isolation_rules": op8_isolation_rules, "op9_block_rules": op9_block_rules, "op10_ordinal_quality": op10_ordinal_quality}
 
 
 def oracle_sql() -> dict[str, str]:
