@@ -49,10 +49,9 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     # Words in lower case, a space before each and one at the end; what isn't a letter or digit separates.
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     anchors = "|".join(dict.fromkeys(ANCHORS))
-    # Anchors give way to a mark on the next content word.
-    marked = F.regexp_replace(plain, rf"(?<= )(?:(?:{anchors}) )+", "\x01")
-    word = r"\x01?[^ \x01]+ "
-    chains = F.regexp_extract_all(marked, F.lit(rf"\x01(?=({word * chain}))"), F.lit(1))
+    # Each anchor gives way to a mark on the next content word. (One at a time: Java's stack grows with a repeated group.)
+    marked = F.regexp_replace(plain, rf"(?<= )(?:{anchors}) ", "\x01")
+    chains = F.regexp_extract_all(marked, F.lit(r"\x01(?=([^ \x01]+ " + r"\x01*[^ \x01]+ " * (chain - 1) + "))"), F.lit(1))
 
     def of(found: Column) -> Column:
         return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.xxhash64(F.translate(s, "\x01", "")))))
