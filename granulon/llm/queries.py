@@ -69,8 +69,26 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.rate(docs, ordinal.fit(docs, _read(spark, sf_dir, "labels"), F.expr(GRADE), TOP_GRADE))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_simhash": op2_simhash, "op3_spotsigs": op3_spotsigs, "op4_best_fit": op4_best_fit, "op5_feistel_pii": op5_feistel_pii, "op6_bit_packed": op6_bit_packed, "op7_license_scan": op7_license_scan, "op8_isolation_rules": op8_isolation_rules, "op9_block_rules": op9_block_rules, "op10_ordinal_quality": op10_ordinal_quality}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op2_simhash": op2_simhash,
+        "op3_spotsigs": op3_spotsigs,
+        "op4_best_fit": op4_best_fit,
+        "op5_feistel_pii": op5_feistel_pii,
+        "op6_bit_packed": op6_bit_packed,
+        "op7_license_scan": op7_license_scan,
+        "op8_isolation_rules": op8_isolation_rules,
+        "op9_block_rules": op9_block_rules,
+        "op10_ordinal_quality": op10_ordinal_quality,
+        "pipeline": pipeline,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,8 @@ POSITIONS = 8
 SEED = 42
 #: Entries of a posting list that one block holds; longer lists are compared block against block.
 BLOCK = 4096
+#: Places that the rows of one fingerprint go to.
+SALTS = 16
 #: Entries for each posting list that the choice of the index's width aims at.
 LIST_LENGTH = 256
 
@@ -51,14 +53,15 @@ def fingerprint(text: str, size: int = 4) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, fp bigint): the 64 bits as a signed number. Null text counts as empty, with fingerprint zero."""
+    """(doc_id, text_hash, fp bigint): the 64 bits as a signed number. Null text counts as empty, with fingerprint zero."""
 
     def make():
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        return lambda c: [c["id"], [signed(fingerprint(t, size)) for t in c["text"]]]
+        return lambda c: [c["id"], c["hash"], [signed(fingerprint(t, size)) for t in c["text"]]]
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), make, f"{id_col} {kind}, fp bigint")
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash"), text_of(text_col).alias("text"))
+    return map_rows(rows, make, f"{id_col} {kind}, text_hash bigint, fp bigint")
 
 
 def index_keys(width: int, shared: int) -> list[tuple[int, ...]]:
@@ -232,17 +235,34 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: the smallest id that chains of links reach, itself included.
+    """(doc_id, text_hash, fp, root, component_id) for each row; rows with the same root are one group.
 
-    Empty and null texts have fingerprint zero and link like others; repeated rows stay repeated; a
-    null id is kept and counts as no id; an empty table gives an empty table; other columns are left out.
+    component_id is the smallest id that chains of links reach, itself included. Empty and null texts have
+    fingerprint zero and link like others; repeated rows stay repeated; a null id is kept and counts as no
+    id; an empty table gives an empty table; other columns are left out.
     """
     prints = cut(fingerprints(df, id_col, text_col, size))
     classes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    joined = links(classes.select("fp"), bits)
-    roots = connected(joined)
-    named = roots.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("group_least"))
-    moved = named.join(smallest, "root").select("fp", "group_least")
-    labelled = classes.join(moved, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
-    return prints.join(labelled, "fp").select(id_col, "fp", "component_id")
+    roots = connected(links(classes.select("fp"), bits))
+    named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = named.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+    # A fingerprint may have a third of all rows; its rows go to SALTS places, and its label to each of them.
+    salted = labelled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return prints.withColumn("_salt", F.pmod(F.xxhash64(id_col, "text_hash"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "_salt"]).select(id_col, "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
+    """One row of each group of near_duplicates(), with all its columns: the one with the smallest id.
+
+    Rows without an id stay only where no row of their group has one; of rows with the same id, the one
+    with the smallest text hash stays, and of equal ones one.
+    """
+    found = near_duplicates(df, id_col, text_col, size, bits)
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("c"))
+    key = lambda i, h: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("-")), h.cast("string"))
+    keys = chosen.select(key(F.col("c.id"), F.col("c.text_hash")).alias("_key")).distinct()
+    rows = df.withColumn("_key", key(F.col(id_col), F.xxhash64(text_of(text_col)))).join(keys.hint("shuffle_hash"), "_key", "left_semi")
+    plain = [f.name for f in df.schema if f.dataType.typeName() in ("long", "integer", "short", "string", "double", "boolean", "date", "timestamp")]
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(*[c for c in plain if c != text_col] or ["_key"]))
+    return rows.withColumn("_first", first).where("_first = 1").select(*df.columns)
