@@ -1 +1 @@
-
+"""Column expressions: Column in, Column out."""

@@ -1,4 +1,4 @@
-"""The queries of the reference's own operators, by name, with their DuckDB equivalents."""
+"""All queries of the reference's own operators by name, with their DuckDB equivalents where SQL has one."""
 
 from __future__ import annotations
 
@@ -6,18 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granulon.session import table
+from granulon.plans import images, manifests
 
-FLAGSHIP = "manifest_profile"
-
-
-def _manifest_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").count()
+FLAGSHIP = "stratified_split"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: _manifest_profile}
+    return {name: run for name, (run, _) in (manifests.QUERIES | images.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {FLAGSHIP: 'SELECT p_brand, count(*) AS "count" FROM part GROUP BY p_brand'}
+    return {name: sql for name, (_, sql) in (manifests.QUERIES | images.QUERIES).items() if sql}
