@@ -172,9 +172,13 @@ def content_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.content_leaks(table(spark, sf_dir, "documents"), F.expr(SPLIT), dedup.content_hash(c("text")), c("doc_id"))
 
 
-@query(f"SELECT {DUCK_SOURCE} AS source_unit, count(DISTINCT {SPLIT}) AS n_splits FROM documents GROUP BY 1 HAVING count(DISTINCT {SPLIT}) > 1")
+#: A split that doesn't keep sources together.
+CARELESS_SPLIT = "CASE WHEN floor(doc_id / 20) % 3 = 0 THEN 'val' ELSE 'train' END"
+
+
+@query(f"SELECT {DUCK_SOURCE} AS source_unit, count(DISTINCT {CARELESS_SPLIT}) AS n_splits FROM documents GROUP BY 1 HAVING count(DISTINCT {CARELESS_SPLIT}) > 1")
 def source_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.source_leaks(table(spark, sf_dir, "documents"), F.expr(SOURCE), F.expr(SPLIT))
+    return audit.source_leaks(table(spark, sf_dir, "documents"), F.expr(SOURCE), F.expr(CARELESS_SPLIT))
 
 
 @query("SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT DISTINCT l_suppkey FROM lineitem WHERE l_returnflag = 'N'")
