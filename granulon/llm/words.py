@@ -32,48 +32,52 @@ class WordEncoder:
         self._ends = np.zeros(self.size, bool)
         if suffix:
             self._ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
-        self._chunks: dict[bytes, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
-        """Add these chunks to the known ones."""
-        if len(self._chunks) + len(new) > MAX_CHUNKS:
-            self._chunks.clear()
-        if len(self._words) + len(new) > MAX_CHUNKS:
-            self._words.clear()
-        parts: list[tuple[bytes, str, str]] = []
-        words: dict[str, None] = {}
-        rest: dict[str, None] = {}
+        """Add these chunks, the words in them and the punctuation behind these to what is known."""
+        known = self._known
+        if len(known) + len(new) > MAX_CHUNKS:
+            known.clear()
+        parts: list[tuple[bytes, bytes, bytes]] = []
+        words: dict[str, bytes] = {}
+        rest: dict[str, bytes] = {}
         for chunk in new:
             text = chunk.decode()
             found = WORD.fullmatch(text)
             word, tail = found.groups() if found else ("", text)
-            parts.append((chunk, word, tail))
-            if word and word not in self._words:
-                words[word] = None
-            if tail and tail not in self._words:
-                rest[tail] = None
-        for text, ids in zip(rest, self._ids(list(rest))):
-            self._words[text] = ids.tobytes()
+            if word and tail:
+                own = word.encode()
+                parts.append((chunk, own, chunk[len(own) :]))
+                if own not in known:
+                    words[word] = own
+                if parts[-1][2] not in known:
+                    rest[tail] = parts[-1][2]
+            elif word:
+                words[word] = chunk
+            else:
+                rest[tail] = chunk
+        for key, ids in zip(rest.values(), self._ids(list(rest))):
+            known[key] = ids.tobytes()
         # Many words as one text: each word's last token, and no other, has the suffix of a word's end.
-        listed = list(words)
-        groups = [listed[i : i + IN_ONE] for i in range(0, len(listed), IN_ONE)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+        listed, keys = list(words), list(words.values())
+        groups = range(0, len(listed), IN_ONE)
+        for at, ids in zip(groups, self._ids([" ".join(listed[i : i + IN_ONE]) for i in groups])):
+            own = keys[at : at + IN_ONE]
             ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) == len(group):
-                data, at = ids.tobytes(), 0
-                for word, end in zip(group, (4 * ends).tolist()):
-                    self._words[word] = data[at:end]
-                    at = end
+            if len(ends) == len(own):
+                data, start = ids.tobytes(), 0
+                for key, end in zip(own, (4 * ends).tolist()):
+                    known[key] = data[start:end]
+                    start = end
             else:  # a vocabulary without such a suffix
-                for word, own in zip(group, self._ids(group)):
-                    self._words[word] = own.tobytes()
-        self._words[""] = b""
+                for key, one in zip(own, self._ids(listed[at : at + IN_ONE])):
+                    known[key] = one.tobytes()
         for chunk, word, tail in parts:
-            self._chunks[chunk] = self._words[word] + self._words[tail]
+            known[chunk] = known[word] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, without added special tokens."""
@@ -86,12 +90,10 @@ class WordEncoder:
                 stop += 1
             split = [t.encode().split() for t in texts[at:stop]]  # bytes split at the six ASCII spaces only
             seen = set().union(*split)
-            new = seen.difference(self._chunks)
+            new = seen.difference(self._known)
             if new:
-                if len(self._chunks) + len(new) > MAX_CHUNKS:
-                    new = seen
-                self._learn(new)
-            known = self._chunks.__getitem__
+                self._learn(seen if len(self._known) + len(new) > MAX_CHUNKS else new)
+            known = self._known.__getitem__
             out += [b"".join(map(known, chunks)) for chunks in split]
             at = stop
         return out
