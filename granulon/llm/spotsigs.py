@@ -100,8 +100,11 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stretch = F.coalesce(F.floor(F.col(id_col) / STRETCH), F.lit(-(2**62)).cast("bigint"))
     docs = df.select(F.col(id_col).alias("_id"), stretch.alias("_stretch"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     own = Window.partitionBy("_stretch").orderBy("_id", "_text")
-    ordered = docs.withColumn("_sig", signatures(F.col("_text"))).withColumn("_after", F.lead(F.struct("_text", "_sig")).over(own)).withColumn("_rank", F.row_number().over(own))
-    heads = ordered.where("_rank = 1").select(F.col("_stretch").alias("_next"), F.struct("_text", "_sig").alias("_head"))
+    # Dealt out by hand, so that texts are shuffled without their signatures.
+    dealt = docs.repartition("_stretch").withColumn("_sig", signatures(F.col("_text")))
+    ordered = dealt.withColumn("_after", F.lead(F.struct("_text", "_sig")).over(own))
+    heads = docs.withColumn("_rank", F.row_number().over(own)).where("_rank = 1")
+    heads = heads.select(F.col("_stretch").alias("_next"), F.struct("_text", signatures(F.col("_text")).alias("_sig")).alias("_head"))
     heads = heads.join(_stretches(docs), "_next").select(F.col("_stretch").alias("_s"), "_head")
     joined = ordered.join(heads, (F.col("_stretch") == F.col("_s")) & F.col("_after").isNull(), "left")
     joined = joined.select("_id", "_text", "_sig", F.length("_text").alias("_n"), F.coalesce("_after", "_head").alias("_after"))
