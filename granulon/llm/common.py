@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granulon.session import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in its absence (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="granulon-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from the shared folder afterwards."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+__all__ = ["cut", "filter_rows", "fresh", "map_rows", "partitions", "shared_folder", "text_of"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,3 +52,11 @@ def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[
             yield batch.filter(pa.array(keep([x or "" for x in batch.column(at).to_pylist()]), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that df doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granulon.llm.common import fresh
+
 ROUNDS = 10
 
 # What is looked for, in order. (Java's syntax; no groups that capture.)
@@ -222,10 +224,11 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text", found_col: str
     pattern = F.lit(PATTERN)
     # Texts without a digit or an at sign have no candidate and skip the pattern.
     some = text.rlike("[0-9@]")
-    work = df.withColumn("_pii", F.when(some, F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: pseudonym(m, key))))
+    name = fresh(df, "_pii")
+    work = df.withColumn(name, F.when(some, F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: pseudonym(m, key))))
     between = F.split(text, PATTERN, -1)
-    new = F.concat(F.transform(F.col("_pii"), lambda p: p["new"]), F.array(F.lit("")))
+    new = F.concat(F.transform(F.col(name), lambda p: p["new"]), F.array(F.lit("")))
     glued = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
-    kinds = F.filter(F.transform(F.col("_pii"), lambda p: p["kind"]), lambda k: k.isNotNull())
-    out = work.withColumn(text_col, F.when(F.size("_pii") > 0, glued).otherwise(text)).withColumn(found_col, F.coalesce(kinds, F.array().cast("array<string>")))
-    return out.drop("_pii")
+    kinds = F.filter(F.transform(F.col(name), lambda p: p["kind"]), lambda k: k.isNotNull())
+    out = work.withColumn(text_col, F.when(F.size(name) > 0, glued).otherwise(text)).withColumn(found_col, F.coalesce(kinds, F.array().cast("array<string>")))
+    return out.drop(name)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granulon.llm.common import cut, map_rows, partitions, text_of
+from granulon.llm.common import cut, fresh, map_rows, partitions, text_of
 from granulon.llm.components import connected
 
 POSITIONS = 8
@@ -261,8 +261,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     found = near_duplicates(df, id_col, text_col, size, bits)
     chosen = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "text_hash")).alias("c"))
     key = lambda i, h: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("-")), h.cast("string"))
-    keys = chosen.select(key(F.col("c.id"), F.col("c.text_hash")).alias("_key")).distinct()
-    rows = df.withColumn("_key", key(F.col(id_col), F.xxhash64(text_of(text_col)))).join(keys.hint("shuffle_hash"), "_key", "left_semi")
+    name, place = fresh(df, "_key"), fresh(df, "_first")
+    keys = chosen.select(key(F.col("c.id"), F.col("c.text_hash")).alias(name)).distinct()
+    rows = df.withColumn(name, key(F.col(id_col), F.xxhash64(text_of(text_col)))).join(keys.hint("shuffle_hash"), name, "left_semi")
     plain = [f.name for f in df.schema if f.dataType.typeName() in ("long", "integer", "short", "string", "double", "boolean", "date", "timestamp")]
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(*[c for c in plain if c != text_col] or ["_key"]))
-    return rows.withColumn("_first", first).where("_first = 1").select(*df.columns)
+    first = F.row_number().over(Window.partitionBy(name).orderBy(*[F.col(f"`{c}`") for c in plain if c != text_col] or [name]))
+    return rows.withColumn(place, first).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -1,0 +1,309 @@
+"""PII, licences, rules, HTML, ratings and the pipeline."""
+
+import datetime
+import html as entities
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from granulon.llm import html, licenses, ordinal, pii, queries, rules
+
+KEY = "k"
+
+
+def one_column(spark, values, name="m"):
+    return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        x = int(d) * (2 if i % 2 else 1)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def replaced(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [(r.text, list(r.pii_found)) for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_digits_are_permuted(spark, n):
+    values = [f"{k:0{n}d}" for k in range(10**n)]
+    got = [r[0] for r in one_column(spark, values).select(pii._digits(KEY, "t", F.col("m"))).collect()]
+    assert sorted(got) == values and got != values
+
+
+def plain_feistel(key, tag, left, right, a, b):
+    import hashlib
+
+    prf = lambda i, x: int(hashlib.sha256(f"{key}|{tag}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + prf(i, right)) % a
+        else:
+            right = (right + prf(i, left)) % b
+    return left, right
+
+
+def test_feistel_equals_a_plain_one(spark):
+    df = spark.createDataFrame([(k % 17, k) for k in range(200)], "l bigint, r bigint")
+    got = df.select("l", "r", pii.feistel(KEY, "t", F.col("l"), F.col("r"), F.lit(17), F.lit(4297)).alias("s")).collect()
+    assert all((x.s.l, x.s.r) == plain_feistel(KEY, "t", x.l, x.r, 17, 4297) for x in got)
+
+
+def test_all_dates_are_permuted(spark):
+    df = spark.range(73049).select(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")).cast("string").alias("m"))
+    row = df.select(pii._iso_date(KEY, F.col("m")).alias("n")).agg(F.countDistinct("n"), F.min("n"), F.max("n")).first()
+    assert tuple(row) == (73049, "1900-01-01", "2099-12-31")
+
+
+def test_valid_values_stay_valid_and_linked(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        payload = "".join(rng.choice("0123456789") for _ in range(rng.choice([12, 14, 15, 18])))
+        card = next(payload + d for d in "0123456789" if luhn(payload + d))
+        ip = ".".join(str(rng.randint(0, 255)) for _ in range(4))
+        ssn = f"{rng.choice([1, 665, 667, 899]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}"
+        texts.append(f"a {card} b {ip} c {ssn} d {card[:4]}")
+    seen = {}
+    for before, (after, kinds) in zip(texts, replaced(spark, *texts)):
+        _, card, _, ip, _, ssn, _, rest = before.split()
+        _, card2, _, ip2, _, ssn2, _, rest2 = after.split()
+        assert kinds == ["card", "ipv4", "ssn"] and rest == rest2
+        assert len(card2) == len(card) and luhn(card2) and card2 != card
+        assert all(0 <= int(x) <= 255 for x in ip2.split("."))
+        area, group, serial = map(int, ssn2.split("-"))
+        assert 1 <= area <= 899 and area != 666 and group and serial
+        for a, b in ((card, card2), (ip, ip2), (ssn, ssn2)):
+            assert seen.setdefault(a, b) == b
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["4111111111111112 is no card", "999.1.1.1 1.2.3.4.5 256.0.0.1", "1980-02-30 31.02.1999 13/13/2001 1899-12-31", "666-12-1234 000-12-1234 123-00-1234", "version 3. 4.0. 12345", "a@b", "deadbeef", "a | b % $ #", "12345678901234567890"],
+)
+def test_what_is_not_valid_stays(spark, text):
+    assert replaced(spark, text) == [(text, [])]
+
+
+def test_forms_stay(spark):
+    (text, kinds), = replaced(spark, "4111 1111 1111 1111, 4111111111111111; (212) 555-1234 +1 (017) 555-7713 170.106.47.218!! 1.2.2003 12/25/2001 2000-02-29 Ü.ñ@x.example.org TOKEN=\"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\"")
+    assert kinds == ["card", "card", "phone", "phone", "ipv4", "date", "date", "date", "email", "token"]
+    assert re.fullmatch(r'\d{4} \d{4} \d{4} \d{4}, \d{16}; \(\d{3}\) \d{3}-\d{4} \+1 \(\d{3}\) \d{3}-\d{4} [\d.]+!! \d{1,2}\.\d{1,2}\.\d{4} \d\d/\d\d/\d{4} \d{4}-\d\d-\d\d [0-9a-f]{12}@x\.example\.org TOKEN="[0-9A-F]{40}"', text)
+    assert text[:19].replace(" ", "") == text[21:37]
+    month, day, year = map(int, text.split()[12].split("/"))
+    datetime.date(year, month, day)
+
+
+def test_pii_odd_tables(odd, none):
+    done = pii.pseudonymise(odd, KEY)
+    assert done.columns == [*odd.columns, "pii_found"]
+    got = done.collect()
+    assert len(got) == odd.count() and [r.text for r in got if r.doc_id == 1] == [None, None]
+    assert all(r._pii == r.source for r in got)
+    assert "4111111111111111" not in next(r.text for r in got if r.doc_id == -9)
+    assert pii.pseudonymise(none, KEY).count() == 0
+
+
+@pytest.mark.parametrize("text", ["the " * 100_000, "x@" + "a." * 50_000, "1 " * 100_000, "1-" * 50_000, "(555) " * 30_000, "1" * 100_000])
+def test_long_texts_do_not_overflow(spark, text):
+    after = replaced(spark, text)[0][0]
+    assert after[after.find("@") :] == text[text.find("@") :]  # a mailbox alone may be replaced
+
+
+def test_licences(spark, odd, none):
+    rows = [
+        (1, "a/b/x.py", "print"), (2, "a/LICENSE", "Released under the MIT License."), (3, "a/b/c/y.py", "z"), (4, "a/b/COPYING.txt", "Licensed under the Apache License, Version 2.0."), (5, "q/y.py", None), (6, None, "x"),
+        (7, "a/z.py", "The licence of fishing is dear. We go home."), (8, "a/b/w.py", "Words. This work is licensed under the GNU General Public License, version 3."), (8, "a/b/w.py", "Words. This work is licensed under the GNU General Public License, version 3."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {(r.doc_id, r.path): (r.license, r.origin, r.origin_dir) for r in licenses.scan(df, F.col("path")).collect()}
+    assert got == {
+        (1, "a/b/x.py"): ("Apache-2.0", "inherited", "a/b"), (2, "a/LICENSE"): ("MIT", "own", None), (3, "a/b/c/y.py"): ("Apache-2.0", "inherited", "a/b"), (4, "a/b/COPYING.txt"): ("Apache-2.0", "own", None),
+        (5, "q/y.py"): (None, None, None), (6, ""): (None, None, None), (7, "a/z.py"): ("MIT", "inherited", "a"), (8, "a/b/w.py"): ("GPL-3.0", "own", None),
+    }
+    assert licenses.scan(df, F.col("path")).count() == len(rows)
+    assert licenses.scan(odd, F.col("source")).count() == odd.count()
+    assert licenses.scan(none, F.col("source")).count() == 0
+
+
+def test_licence_score_is_the_cosine(spark):
+    texts = ["Licensed under the MIT license by us.", "nothing here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    n, counts = licenses.frequencies(df)
+    assert n == 2 and counts["license"] == 1 and counts.get("apache", 0) == 0
+    idf = lambda w: np.log((1 + n) / (1 + counts[w])) + 1 if w in counts else np.log(1 + n) + 1
+    own = texts[0].lower().rstrip(".").split()
+    best = 0.0
+    for _, notice in licenses.TEMPLATES:
+        words = notice.split()
+        a = {w: own.count(w) * idf(w) for w in own}
+        b = {w: words.count(w) * idf(w) for w in words}
+        best = max(best, sum(a[w] * b.get(w, 0) for w in a) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())))
+    got = licenses.own_licences(df).where("doc_id = 0").first()
+    assert got._license == "MIT" and abs(got._score - best) < 1e-6
+
+
+@pytest.mark.parametrize("text", ["", " \n ", "a b c a b c a b c", "x\nx\n \nx #$|<>", "É é\x0b é é\x0bé é é", "w " * 60])
+def test_counts(text):
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+    inside = {i + k for i, w in enumerate(windows) for k in range(3) if windows.count(w) > 1}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    assert rules.counts(text)[0] == [len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)]
+
+
+def prose(rng, junk=False):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) + ("%%%" if junk else "") for _ in range(rng.randint(60, 200)))
+
+
+@pytest.fixture(scope="module")
+def graded(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(600):
+        junk, toxic = i % 6 == 0, i % 6 == 1
+        text = prose(rng, junk) + (" moron scum idiot" if toxic else "")
+        docs.append((i, text))
+        if i % 2 == 0 or toxic:
+            labels.append((i, int(not junk), int(toxic)))
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*labels, (10**6, 1, 0), (5, None, None)], "doc_id bigint, quality int, toxic int")
+
+
+def test_rules_keep_good_and_drop_junk(graded, odd, none):
+    docs, labels = graded
+    got = {r.doc_id: r for r in rules.judge(docs, labels).collect()}
+    junk = [i for i in got if i % 6 == 0]
+    assert not any(got[i].base_failed for i in got)
+    assert sum(got[i].kept for i in junk) <= 0.05 * len(junk)
+    assert sum(not got[i].kept for i in got if i % 6) <= 0.02 * len(got)
+    assert {r.doc_id for r in rules.keep(docs, labels).collect()} == {i for i in got if got[i].kept}
+    assert rules.judge(docs, labels.limit(0)).where("kept").count() == 600  # no labels: the base rules alone
+    assert rules.judge(odd, labels).count() == odd.count() and rules.judge(none, labels).count() == 0
+    assert rules.keep(odd, labels).columns == odd.columns
+
+
+def test_threshold_rejects_few_good_rows():
+    assert rules.threshold_of([(100, True, 10), (900, False, 5)]) == pytest.approx(0.5)
+    assert rules.threshold_of([(100, True, 10)]) == float("inf")
+    assert rules.threshold_of([(900, True, 10), (100, False, 5)]) == float("inf")
+
+
+def test_forest_isolates_what_is_far():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(0, 0.1, (500, 3))
+    forest = rules.IsolationForest(rows, np.full(3, -1.0), np.full(3, 5.0))
+    near, far = forest.score(rows), forest.score(np.array([[4.0, 4.0, 4.0]]))
+    assert far[0] > np.quantile(near, 0.999)
+    assert rules.IsolationForest(rows[:0], np.zeros(3), np.zeros(3)).score(rows).tolist() == [0.0] * 500
+
+
+def test_ratings_of_held_out_rows(graded):
+    docs, labels = graded
+    model = ordinal.fit(docs, labels.where("doc_id % 4 > 0"), F.expr(queries.GRADE), queries.TOP_GRADE)
+    got = {r.doc_id: r for r in ordinal.rate(docs, model).collect()}
+    held = [i for i in got if i % 4 == 0]
+    right = sum(got[i].selected == (i % 6 > 1) for i in held)
+    assert right >= 0.95 * len(held)
+    assert all(0 <= r.tail <= r.expected_grade <= 2 for r in got.values())
+    mean = lambda f: np.mean([got[i].expected_grade for i in held if f(i % 6)])
+    assert mean(lambda k: k == 0) < mean(lambda k: k > 1)
+    assert {r.doc_id for r in ordinal.select(docs, model).collect()} == {i for i in got if got[i].selected}
+
+
+def test_scores_are_the_sum_of_the_features_weights(graded):
+    docs, labels = graded
+    model = ordinal.fit(docs, labels, F.expr(queries.GRADE), queries.TOP_GRADE, most=200)
+    texts = ["moron scum idiot and abc%%% ABC", "", "é " * 50, "scumbag " * 3 + "x " * 400]
+    assert np.allclose(ordinal.scorer(model)(texts), [model.weights[ordinal.features(t)].sum() for t in texts], atol=1e-5)
+
+
+def test_gradient_finds_the_maximum():
+    """With one feature and two grades the model is a logistic regression on counts."""
+    rows = [np.array([7], np.int32)] * 40 + [np.array([9], np.int32)] * 40
+    grades = np.array([1] * 36 + [0] * 4 + [1] * 4 + [0] * 36)
+    tails = (m := ordinal.fit_arrays(rows, grades, 1)).tails(np.array([m.weights[7], m.weights[9]]))
+    assert np.allclose(tails[:, 0], [0.9, 0.1], atol=0.03)
+
+
+def test_ratings_odd_tables(graded, odd, none):
+    docs, labels = graded
+    model = ordinal.fit(none.select("doc_id", "text"), labels, F.expr(queries.GRADE), queries.TOP_GRADE)
+    assert not model.weights.any()
+    model = ordinal.fit(odd, labels, F.expr(queries.GRADE), queries.TOP_GRADE)
+    got = ordinal.rate(odd, model).collect()
+    assert len(got) == odd.count() and len({r.score for r in got if r.doc_id in (3, 4)}) == 1
+    assert ordinal.rate(none, model).count() == 0 and ordinal.select(odd, model).columns == odd.columns
+
+
+PAGE = """<!DOCTYPE html><html><head><title>The title</title><style>p{x:1}</style><script>var t="</p><p>no</p>";</script></head><body class="home"><header><h2>Site</h2></header>
+<nav><ul><li><a href="/a">A</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies to do what we want with all of the data that you have.</div><article><header><h1>A &amp; B</h1></header>
+<p>The <b>cat</b> of my aunt&nbsp;sat
+ on the mat, as it is of use to all of us &lt;here&gt;.<br>Then it left.<p>Be.<div class="ad">Buy the best of all that there is to be had in the land.</div><ul><li>one of the points</ul><section class="comments"><p>First of all, this is not a comment that we want.</p></section></article>
+<aside>More of the same and of the other</aside><form><p>Your name and that of the cat</p></form><footer>&copy; us</footer></body></html>"""
+
+
+def test_main_text():
+    assert html.main_text(PAGE) == "A & B\nThe cat of my aunt sat on the mat, as it is of use to all of us <here>. Then it left.\nBe.\none of the points"
+
+
+@pytest.mark.parametrize("page", ["", "text", "<", "<p", "<p>a<p>b", "<script>x", "a < b", "<div><div><p>x</div>y", "</p></div>", "<p title='>'>x</p>", "&#x41;&bogus;&#0;", "<!--", "<a>" * 1000, "<div>" * 5000 + "x"])
+def test_broken_pages(page):
+    html.main_text(page)
+
+
+def test_page_without_an_article():
+    good = "<p>" + "It is one of those things that we do for the good of all and not for the few who have it. " * 4 + "</p>"
+    page = f"<body><div><a href=x>Home</a> <a href=y>News</a></div>{good}<p>So it was.</p>{good}<p>{'<a href=z>link of links</a> ' * 9}</p><p>Short at the end</p></body>"
+    found = html.main_text(page).split("\n")
+    assert len(found) == 3 and found[1] == "So it was."
+
+
+def test_pages_of_the_test_table(spark, sf_dir):
+    """The articles of these pages have nothing foreign in them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r for r in html.extract(pages).collect()}
+    for page in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", page.html, re.S)[1]
+        parts = re.split(r"</?(?:p|h1|br)\b[^>]*>", article)
+        expected = "\n".join(t for t in (" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in parts) if t)
+        assert got[page.page_id].text == expected and got[page.page_id].n_chars == len(expected)
+
+
+def test_pages_odd_tables(spark):
+    df = spark.createDataFrame([(None, None, None, "t"), (1, "u", "", "t"), (1, "u", "", "t"), (2, "u", "<p>" * 99, "t")], "page_id bigint, url string, html string, text string")
+    assert [r.text for r in html.extract(df).collect()] == [""] * 4
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert 0 < len(rows) <= before
+        docs, before = spark.createDataFrame(rows, docs.schema), len(rows)
+    expected = {r.doc_id for r in docs.collect()}
+    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r.doc_id for r in packed} == expected
+
+
+def test_pipeline_odd_tables(spark, odd, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert labels.count()
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd, odd.limit(0)):
+            out = stage(spark, df, sf_dir)
+            if name != "best_fit_packing":
+                assert out.columns == odd.columns
+            assert out.count() >= 0
