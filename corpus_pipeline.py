@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulon.llm import ordinal, packing, pii, rules, simhash
-from granulon.llm.common import shared_folder
+from granulon.llm.common import fresh, shared_folder
 from granulon.llm.queries import GRADE, PII_KEY, PII_TEST_KEY, TOP_GRADE, WORD_VOCABULARY
 
 
@@ -35,11 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars follows the text."""
-    done = pii.pseudonymise(docs, spark.conf.get(PII_KEY, PII_TEST_KEY), found_col="_found")
+    found = fresh(docs, "_found")
+    done = pii.pseudonymise(docs, spark.conf.get(PII_KEY, PII_TEST_KEY), found_col=found)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        done = done.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
