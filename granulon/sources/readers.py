@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from granulon.functions.scalars import IMAGE_EXTENSIONS, stem
 from granulon.operators import raster
@@ -17,7 +18,7 @@ from granulon.sources import png
 
 RUNS = "image_id string, h int, w int, label int, y int, x0 int, x1 int"
 FLOW_HEADER = "image_id string, ok boolean, dtype string, shape array<int>, finite boolean"
-COCO = T._parse_datatype_string(
+COCO = (
     "images array<struct<id:bigint,file_name:string,height:int,width:int>>,"
     "annotations array<struct<id:bigint,image_id:bigint,category_id:int,segmentation:string,bbox:array<double>,area:double,iscrowd:int>>,"
     "categories array<struct<id:int,name:string,supercategory:string>>"
@@ -62,16 +63,13 @@ def images(spark: SparkSession, directory: str, with_labels: bool = False) -> Da
 
 def _from_files(files: DataFrame, one, schema: str, key: Column) -> DataFrame:
     """Rows from the content of each file, a file at a time."""
-    names = [f.name for f in T._parse_datatype_string(schema)]
+    out = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out = to_arrow_schema(T._parse_datatype_string(schema))
         for batch in batches:
             for k, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = one(k, content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], out.field(i).type) for i in range(len(names))], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
     return files.select(key.alias("k"), "content").mapInArrow(run, schema)
 
