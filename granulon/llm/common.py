@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granulon.session import cut, shared_folder
 
-__all__ = ["cut", "filter_rows", "fresh", "map_rows", "partitions", "shared_folder", "text_of"]
+__all__ = ["cut", "filter_rows", "fresh", "map_rows", "partitions", "shared_folder", "slices", "text_of"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -22,6 +22,18 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows, and bytes about, that a function of columns gets at once.
+SLICE_ROWS, SLICE_BYTES = 1000, 8_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of a bounded size (but for a single larger row), without copying."""
+    for batch in batches:
+        rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema: str) -> DataFrame:
     """Arrow batches through a Python function of whole columns.
 
@@ -35,8 +47,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list]], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            columns = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
+        for part in slices(batches):
+            columns = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     return df.mapInArrow(run, schema)
@@ -48,8 +60,8 @@ def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
-        for batch in batches:
-            yield batch.filter(pa.array(keep([x or "" for x in batch.column(at).to_pylist()]), pa.bool_()))
+        for part in slices(batches):
+            yield part.filter(pa.array(keep([x or "" for x in part.column(at).to_pylist()]), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granulon.llm import words
-from granulon.llm.common import partitions, shared_folder, text_of
+from granulon.llm.common import partitions, shared_folder, slices, text_of
 
 MAGIC = b"GTOKBIN1"
 HEADER = struct.Struct("<8sII")
@@ -159,11 +159,9 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc
         own = posixpath.join(base, f".{name}.{task.taskAttemptId()}")
         with store.open_output_stream(own) as sink:
             writer = Writer(sink, width(max(encoder.size, end_id + 1)))
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(ids), 500):
-                    for doc, data in zip(ids[at : at + 500], encoder.encode(texts[at : at + 500])):
-                        writer.add(doc, np.concatenate([np.frombuffer(data, "<u4"), end]))
+            for part in slices(batches):
+                for doc, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                    writer.add(doc, np.concatenate([np.frombuffer(data, "<u4"), end]))
             writer.close()
         store.move(own, posixpath.join(base, name))
         yield pa.RecordBatch.from_pydict({"file": [task.partitionId()], "name": [name], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]]})

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 #: A Latin word (one word to the splitter) and plain punctuation behind it.
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?|%&*$#]*)")
 #: Chunks and words a worker keeps, characters of text encoded together, new words in one text.
-MAX_CHUNKS = 1_000_000
+MAX_CHUNKS = 500_000
 TOGETHER = 1_000_000
 IN_ONE = 500
 
