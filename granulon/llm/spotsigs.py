@@ -40,8 +40,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _hash(text: Column) -> Column:
+    return F.substring(F.md5(text), 1, 16)
+
+
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted different 64-bit hashes of the text's spot signatures.
+    """Sorted different hashes of the text's spot signatures, each the first 16 digits of an MD5.
 
     A text with words but without a signature has one hash of all its words, so equal texts still have
     equal fingerprints; a text without words, or null, has none.
@@ -54,14 +58,14 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     chains = F.regexp_extract_all(marked, F.lit(r"\x01(?=([^ \x01]+ " + r"\x01*[^ \x01]+ " * (chain - 1) + "))"), F.lit(1))
 
     def of(found: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.xxhash64(F.translate(s, "\x01", "")))))
+        return F.array_sort(F.array_distinct(F.transform(found, lambda s: _hash(F.translate(s, "\x01", "")))))
 
-    return _let(F.struct(chains.alias("c"), plain.alias("p")), lambda x: F.when(F.size(x["c"]) > 0, of(x["c"])).when(F.length(x["p"]) > 2, F.array(F.xxhash64(x["p"]))).otherwise(F.array().cast("array<bigint>")))
+    return _let(F.struct(chains.alias("c"), plain.alias("p")), lambda x: F.when(F.size(x["c"]) > 0, of(x["c"])).when(F.length(x["p"]) > 2, F.array(_hash(x["p"]))).otherwise(F.array().cast("array<string>")))
 
 
 def fingerprint(hashes: Column) -> Column:
     """The set as a string, 16 hexadecimal digits for each signature; the empty set is the empty string."""
-    return F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    return F.array_join(hashes, "")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -157,3 +161,23 @@ def near_duplicates(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     roots = connected(similar_sets(classes.select("id", "sig"), least))
     named = classes.select("key", "id").join(roots, F.col("id") == F.col("node"), "left").select("key", F.col("id").alias("class_id"), F.coalesce("root", "id").alias("component_id"))
     return prints.select("_id", "key").join(named, "key").select(F.col("_id").alias(id_col), "class_id", "component_id")
+
+
+#: compare_with_edits() over the table documents in DuckDB.
+ORACLE_SQL = f"""
+WITH e AS (SELECT doc_id, text, length(text) AS n, COALESCE(lead(text) OVER o, first_value(text) OVER o) AS after FROM documents WINDOW o AS (ORDER BY doc_id)),
+  f AS (SELECT *, concat(left(text, n - n // 2), left(after, n // 2)) AS edited FROM e),
+  t AS (SELECT doc_id, 'own' AS k, text AS t FROM f UNION ALL SELECT doc_id, 'edited', edited FROM f),
+  p AS (SELECT doc_id, k, trim(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS words FROM t),
+  w AS (SELECT doc_id, k, unnest(string_split(words, ' ')) AS w, generate_subscripts(string_split(words, ' '), 1) AS i FROM p WHERE words <> ''),
+  a AS (SELECT *, w IN ({", ".join(f"'{x}'" for x in dict.fromkeys(ANCHORS))}) AS anchor FROM w),
+  b AS (SELECT *, lag(anchor) OVER (PARTITION BY doc_id, k ORDER BY i) AS spot FROM a),
+  c AS (SELECT doc_id, k, spot, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM b WHERE NOT anchor WINDOW o AS (PARTITION BY doc_id, k ORDER BY i)),
+  s AS (SELECT doc_id, k, list_sort(list(DISTINCT substr(md5(concat(w, ' ', w2, ' ', w3, ' ')), 1, 16))) AS sig FROM c WHERE spot AND w3 IS NOT NULL GROUP BY 1, 2),
+  g AS (SELECT p.doc_id, p.k, CASE WHEN words = '' THEN [] ELSE COALESCE(sig, [substr(md5(concat(' ', words, ' ')), 1, 16)]) END AS sig FROM p LEFT JOIN s ON p.doc_id = s.doc_id AND p.k = s.k),
+  j AS (SELECT f.doc_id, n, edited, x.sig AS own, y.sig AS other, COALESCE(lead(x.sig) OVER o, first_value(x.sig) OVER o) AS next
+    FROM f JOIN g x ON f.doc_id = x.doc_id AND x.k = 'own' JOIN g y ON f.doc_id = y.doc_id AND y.k = 'edited' WINDOW o AS (ORDER BY f.doc_id))
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(other, '') AS edited_fingerprint,
+  CASE WHEN len(own) + len(other) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(own, other)) / (len(own) + len(other) - len(list_intersect(own, other))) END AS near_edited,
+  CASE WHEN len(own) + len(next) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(own, next)) / (len(own) + len(next) - len(list_intersect(own, next))) END AS near_next FROM j
+"""

@@ -168,7 +168,7 @@ def test_similar_sets_equal_brute_force(spark):
         base = sets.get(rng.choice(list(sets)), set()) if sets and rng.random() < 0.6 else set()
         s = {x for x in base if rng.random() < 0.93} | {rng.randint(0, 400) for _ in range(rng.randint(0, 4))}
         sets[i] = s
-    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id bigint, sig array<bigint>")
+    df = spark.createDataFrame([(i, sorted(map(str, s))) for i, s in sets.items()], "id bigint, sig array<string>")
     for least in (0.5, 0.8, 1.0):
         expected = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= least - 1e-12}
         assert {(r.a, r.b) for r in spotsigs.similar_sets(df, least).collect()} == expected
