@@ -15,14 +15,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import map_rows, text_of
+from granulon.llm.common import Recent, map_rows, text_of
 
-#: Entries each worker keeps of pieces and of token pairs; beyond, the store starts anew.
+#: Entries each worker keeps of pieces and of token pairs.
 MAX_PIECES = 400_000
 MAX_PAIRS = 400_000
 
@@ -39,7 +40,7 @@ class ByteBPE:
         self.merged: dict[tuple[int, int], int] = {}
         self.usable: dict[bytes, int] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self._pieces = Recent(self.encode_piece, MAX_PIECES)
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
                 self.usable[token] = i
@@ -96,23 +97,12 @@ class ByteBPE:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one match of the pattern; a piece that is a token as a whole is that token."""
-        ids = self._pieces.get(piece)
-        if ids is None:
-            data = piece.encode()
-            whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else PrefixTable(self, data).ids()
-            if len(piece) <= 64:
-                if len(self._pieces) >= MAX_PIECES:
-                    self._pieces.clear()
-                self._pieces[piece] = ids
-        return ids
+        data = piece.encode()
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else PrefixTable(self, data).ids()
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        known = self._pieces.get
-        for piece in self.pattern.findall(text):
-            ids += known(piece) or self.encode_piece(piece)
-        return ids
+        return list(chain.from_iterable(map(self._pieces.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granulon.session import cut, shared_folder
 
-__all__ = ["cut", "filter_rows", "fresh", "map_rows", "partitions", "shared_folder", "slices", "text_of"]
+__all__ = ["cut", "Recent", "filter_rows", "fresh", "map_rows", "partitions", "shared_folder", "slices", "text_of"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -72,3 +72,27 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+class Recent(dict):
+    """What make(key) gave for the keys used of late, in two generations of most / 2 entries each.
+
+    A key that is asked for again moves to the newer generation; when that is full, the older one goes.
+    Keys longer than `longest` are never kept.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most // 2, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import filter_rows, map_rows, text_of
+from granulon.llm.common import Recent, filter_rows, map_rows, text_of
 
 #: Labelled rows fitted on at most; hashed features; texts that a feature must occur in to have a weight,
 #: and standard errors that the share of its texts that pass a grade must be off.
@@ -30,7 +30,7 @@ STEPS, RATE, RIDGE = 400, 0.1, 3e-5
 #: Lengths in bytes of the beginnings of words that are features, of texts where they make up this share of the words.
 BEGINNINGS, LEAST_RATE = (4, 5, 6, 7, 8), 0.008
 #: Words of which a worker keeps the weights.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 #: A text is selected if its tail probability of the selecting grade is at least this.
 LEAST_TAIL = 0.5
 
@@ -140,18 +140,12 @@ def scorer(model: OrdinalModel) -> Callable[[list[str]], np.ndarray]:
     """Scores of texts: the sum of the weights of features(text), by way of the few that have one."""
     weights = model.weights.astype(float)
 
-    class Weighted(dict):
-        """Of a word seen: the slot of the word and those of its beginnings, where they have weights."""
+    def weighted(word: bytes) -> tuple[int, tuple[int, ...]]:
+        """The slot of a word, or -1, and the slots of its beginnings, where they have weights."""
+        own, *rest = map(_slot, _parts(word))
+        return own if weights[own] else -1, tuple(k for k in rest if weights[k])
 
-        def __missing__(self, word: bytes) -> tuple[int, tuple[int, ...]] | None:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            own, *rest = map(_slot, _parts(word))
-            rest = tuple(k for k in rest if weights[k])
-            value = self[word] = (own if weights[own] else -1, rest) if rest or weights[own] else None
-            return value
-
-    known = Weighted()
+    known = Recent(weighted, MAX_WORDS)
 
     def score(texts: list[str]) -> np.ndarray:
         out = []
@@ -161,12 +155,11 @@ def scorer(model: OrdinalModel) -> Callable[[list[str]], np.ndarray]:
             slots = set(map(_slot, _shape(data)))
             often: dict[int, int] = {}
             for word, n in words.items():
-                found = known[word]
-                if found:
-                    if found[0] >= 0:
-                        slots.add(found[0])
-                    for k in found[1]:
-                        often[k] = often.get(k, 0) + n
+                own, rest = known[word]
+                if own >= 0:
+                    slots.add(own)
+                for k in rest:
+                    often[k] = often.get(k, 0) + n
             least = LEAST_RATE * sum(words.values())
             slots.update(k for k, n in often.items() if n >= least)
             out.append(math.fsum(weights[k] for k in slots))  # fsum: the same sum in any order

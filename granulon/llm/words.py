@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 
 #: A Latin word (one word to the splitter) and plain punctuation behind it.
 WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?|%&*$#]*)")
-#: Chunks and words a worker keeps, characters of text encoded together, new words in one text.
-MAX_CHUNKS = 500_000
+#: Chunks a worker keeps, characters of text encoded together, new words in one text.
+MAX_CHUNKS = 600_000
 TOGETHER = 1_000_000
 IN_ONE = 500
 
@@ -33,6 +33,7 @@ class WordEncoder:
         if suffix:
             self._ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -40,8 +41,6 @@ class WordEncoder:
     def _learn(self, new: set[bytes]) -> None:
         """Add these chunks, the words in them and the punctuation behind these to what is known."""
         known = self._known
-        if len(known) + len(new) > MAX_CHUNKS:
-            known.clear()
         parts: list[tuple[bytes, bytes, bytes]] = []
         words: dict[str, bytes] = {}
         rest: dict[str, bytes] = {}
@@ -90,9 +89,15 @@ class WordEncoder:
                 stop += 1
             split = [t.encode().split() for t in texts[at:stop]]  # bytes split at the six ASCII spaces only
             seen = set().union(*split)
+            # Two generations: what is used again moves to the newer one, and the older one goes when that is full.
+            if len(self._known) > MAX_CHUNKS // 2:
+                self._older, self._known = self._known, {}
             new = seen.difference(self._known)
+            again = new.intersection(self._older)
+            self._known.update((c, self._older[c]) for c in again)
+            new -= again
             if new:
-                self._learn(seen if len(self._known) + len(new) > MAX_CHUNKS else new)
+                self._learn(new)
             known = self._known.__getitem__
             out += [b"".join(map(known, chunks)) for chunks in split]
             at = stop
