@@ -246,6 +246,148 @@ def polygon_mask(points: np.ndarray, height: int, width: int) -> np.ndarray:
     return out
 
 
+#: Steps around a pixel, clockwise from the left, as (y, x).
+_AROUND = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+
+
+def contour(mask: np.ndarray) -> np.ndarray:
+    """The outer contour of the part that has the first pixel in raster order: its border pixels (x, y), clockwise."""
+    ys, xs = np.nonzero(mask)
+    if not len(ys):
+        return np.empty((0, 2), int)
+    inside = np.pad(mask > 0, 1)
+    start = (int(ys[0]) + 1, int(xs[0]) + 1)
+    at, back, out = start, 0, []
+    while True:
+        out.append((at[1] - 1, at[0] - 1))
+        for k in range(1, 9):
+            turn = (back + k) % 8
+            after = at[0] + _AROUND[turn][0], at[1] + _AROUND[turn][1]
+            if inside[after]:
+                break
+        else:
+            break  # a single pixel
+        step = (after, (turn + 5) % 8 if turn % 2 else (turn + 6) % 8)
+        if at == start and len(out) > 1 and after == second:
+            out.pop()
+            break
+        if len(out) == 1:
+            second = after
+        at, back = step
+    return np.array(out, int)
+
+
+def polygon_area(points: np.ndarray) -> float:
+    x, y = points[:, 0].astype(float), points[:, 1].astype(float)
+    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2) if len(points) > 2 else 0.0
+
+
+def perimeter(points: np.ndarray) -> float:
+    return float(np.hypot(*(points - np.roll(points, -1, axis=0)).T).sum()) if len(points) > 1 else 0.0
+
+
+def convex_hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the hull, by monotone chains."""
+    ordered = sorted(set(map(tuple, points.tolist())))
+    if len(ordered) < 3:
+        return np.array(ordered).reshape(-1, 2)
+
+    def chain(side: list) -> list:
+        out: list = []
+        for p in side:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(chain(ordered) + chain(ordered[::-1]))
+
+
+def form_metrics(mask: np.ndarray) -> dict[str, float]:
+    """Area in pixels, contour perimeter, circularity, solidity (contour to hull) and convexity (its inverse)."""
+    points = contour(mask)
+    area, length, own, hull = float((mask > 0).sum()), perimeter(points), polygon_area(points), polygon_area(convex_hull(points))
+    return {"area": area, "perimeter": length, "circularity": 4 * np.pi * area / max(length**2, 1e-8), "solidity": own / max(hull, 1e-8), "convexity": hull / max(own, 1.0)}
+
+
+def overlay(masks: list[np.ndarray], height: int, width: int) -> np.ndarray:
+    """Masks as one label map: later ones cover earlier ones; empty ones take no number."""
+    out = np.zeros((height, width), np.int32)
+    k = 0
+    for mask in masks:
+        if mask.any():
+            k += 1
+            out[mask] = k
+    return out
+
+
+def resize(image: np.ndarray, height: int, width: int, nearest: bool = False) -> np.ndarray:
+    """The image at another size: the nearest pixel, or between the four around; pixel centres keep their share."""
+    y, x = (np.arange(height) + 0.5) * image.shape[0] / height - 0.5, (np.arange(width) + 0.5) * image.shape[1] / width - 0.5
+    if nearest:
+        rows, columns = np.floor((np.arange(height) * image.shape[0]) / height).astype(int), np.floor((np.arange(width) * image.shape[1]) / width).astype(int)
+        return image[rows][:, columns]
+    y, x = np.clip(y, 0, image.shape[0] - 1), np.clip(x, 0, image.shape[1] - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, image.shape[0] - 1), np.minimum(x0 + 1, image.shape[1] - 1)
+    wy, wx = (y - y0)[:, None], (x - x0)[None, :]
+    if image.ndim == 3:
+        wy, wx = wy[..., None], wx[..., None]
+    at = lambda a, b: image[a][:, b].astype(float)
+    return (at(y0, x0) * (1 - wx) + at(y0, x1) * wx) * (1 - wy) + (at(y1, x0) * (1 - wx) + at(y1, x1) * wx) * wy
+
+
+def fit_square(image: np.ndarray, side: int, pad: float = 114) -> tuple[np.ndarray, dict[str, float]]:
+    """The image scaled to fit a square and centred in it, and how: scale, top, left, height, width (cut off, not rounded)."""
+    scale = side / max(image.shape[:2])
+    h, w = max(1, int(image.shape[0] * scale)), max(1, int(image.shape[1] * scale))
+    top, left = (side - h) // 2, (side - w) // 2
+    out = np.full((side, side, *image.shape[2:]), pad, float)
+    out[top : top + h, left : left + w] = resize(image, h, w)
+    return out, {"scale": scale, "top": top, "left": left, "height": h, "width": w}
+
+
+def normalise(image: np.ndarray, mean: tuple[float, ...], std: tuple[float, ...]) -> np.ndarray:
+    """Values of 0 to 255 as multiples of the deviation, channels first."""
+    return np.moveaxis((image / 255 - np.array(mean)) / np.array(std), -1, 0).astype(np.float32)
+
+
+def suppress_padding(logit: np.ndarray, how: dict[str, float], stride: int = 4, low: float = -100.0) -> np.ndarray:
+    """Logits of a prediction at a stride with the padding set so low that nothing is found there."""
+    out = np.full(logit.shape, low, logit.dtype)
+    part = np.s_[int(how["top"]) // stride : -(-int(how["top"] + how["height"]) // stride), int(how["left"]) // stride : -(-int(how["left"] + how["width"]) // stride)]
+    out[part] = logit[part]
+    return out
+
+
+def to_original(labels: np.ndarray, how: dict[str, float], height: int, width: int, stride: int = 4) -> np.ndarray:
+    """A label map of a padded square, at a stride, back at the image's own size."""
+    top, left = int(how["top"]) // stride, int(how["left"]) // stride
+    part = labels[top : top + max(1, int(how["height"]) // stride), left : left + max(1, int(how["width"]) // stride)]
+    return resize(part, height, width, nearest=True)
+
+
+def turned(dy: np.ndarray, dx: np.ndarray, quarters: int = 0, mirror: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A flow field mirrored left to right, then turned by quarters against the clock: places and vectors alike."""
+    if mirror:
+        dy, dx = dy[:, ::-1], -dx[:, ::-1]
+    for _ in range(quarters % 4):
+        dy, dx = -np.rot90(dx), np.rot90(dy)
+    return dy, dx
+
+
+def to_8_bit(image: np.ndarray) -> np.ndarray:
+    """A 16-bit image scaled so that its largest value becomes 255."""
+    return (image.astype(float) * (255.0 / max(int(image.max(initial=0)), 1))).astype(np.uint8)
+
+
+def flow_loss(logit: np.ndarray, dy: np.ndarray, dx: np.ndarray, true_inside: np.ndarray, true_dy: np.ndarray, true_dx: np.ndarray) -> dict[str, float]:
+    """Mean squared error to five times the true flow, and cross entropy of inside; as metrics."""
+    flow = float((((dy - 5 * true_dy) ** 2 + (dx - 5 * true_dx) ** 2) / 2).mean())
+    cell = float((np.maximum(logit, 0) - logit * true_inside + np.log1p(np.exp(-np.abs(logit)))).mean())
+    return {"flow": flow, "cell": cell, "loss": flow + cell}
+
+
 def merge_tiles(iou: np.ndarray, confidence: np.ndarray) -> np.ndarray:
     """Which detections stay: in order of falling confidence, then id, each drops those after it that are the same (iou true)."""
     order = np.lexsort((np.arange(len(confidence)), -confidence))
