@@ -15,11 +15,11 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: A Latin word (one word to the splitter) and plain punctuation behind it.
-WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?|%&*$#]*)")
+#: Latin letters are one word to the splitter; plain punctuation may stand behind it.
+LATIN, PUNCTUATION = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ",.;:!?|%&*$#"
 #: Chunks a worker keeps, characters of text encoded together, new words in one text.
 MAX_CHUNKS = 600_000
-TOGETHER = 1_000_000
+TOGETHER = 3_000_000
 IN_ONE = 500
 
 
@@ -46,8 +46,10 @@ class WordEncoder:
         rest: dict[str, bytes] = {}
         for chunk in new:
             text = chunk.decode()
-            found = WORD.fullmatch(text)
-            word, tail = found.groups() if found else ("", text)
+            word = text.rstrip(PUNCTUATION)
+            if not (word.isascii() and word.isalpha() or LATIN.fullmatch(word)):
+                word = ""
+            tail = text[len(word) :]
             if word and tail:
                 own = word.encode()
                 parts.append((chunk, own, chunk[len(own) :]))
@@ -87,7 +89,8 @@ class WordEncoder:
             while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= TOGETHER):
                 chars += len(texts[stop])
                 stop += 1
-            split = [t.encode().split() for t in texts[at:stop]]  # bytes split at the six ASCII spaces only
+            # The library takes A to Z for a to z too; bytes split at the six ASCII spaces only.
+            split = [t.encode().lower().split() for t in texts[at:stop]]
             seen = set().union(*split)
             # Two generations: what is used again moves to the newer one, and the older one goes when that is full.
             if len(self._known) > MAX_CHUNKS // 2:
