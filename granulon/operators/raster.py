@@ -381,13 +381,6 @@ def to_8_bit(image: np.ndarray) -> np.ndarray:
     return (image.astype(float) * (255.0 / max(int(image.max(initial=0)), 1))).astype(np.uint8)
 
 
-def flow_loss(logit: np.ndarray, dy: np.ndarray, dx: np.ndarray, true_inside: np.ndarray, true_dy: np.ndarray, true_dx: np.ndarray) -> dict[str, float]:
-    """Mean squared error to five times the true flow, and cross entropy of inside; as metrics."""
-    flow = float((((dy - 5 * true_dy) ** 2 + (dx - 5 * true_dx) ** 2) / 2).mean())
-    cell = float((np.maximum(logit, 0) - logit * true_inside + np.log1p(np.exp(-np.abs(logit)))).mean())
-    return {"flow": flow, "cell": cell, "loss": flow + cell}
-
-
 def merge_tiles(iou: np.ndarray, confidence: np.ndarray) -> np.ndarray:
     """Which detections stay: in order of falling confidence, then id, each drops those after it that are the same (iou true)."""
     order = np.lexsort((np.arange(len(confidence)), -confidence))

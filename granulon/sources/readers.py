@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from granulon.functions.scalars import IMAGE_EXTENSIONS, stem
+from granulon.operators import flows as flows_table
 from granulon.operators import raster
 from granulon.sources import png
 
-RUNS = "image_id string, h int, w int, label int, y int, x0 int, x1 int"
 FLOW_HEADER = "image_id string, ok boolean, dtype string, shape array<int>, finite boolean"
 COCO = (
     "images array<struct<id:bigint,file_name:string,height:int,width:int>>,"
@@ -76,14 +76,7 @@ def _from_files(files: DataFrame, one, schema: str, key: Column) -> DataFrame:
 
 def runs_of(image: str, labels: np.ndarray) -> list[tuple]:
     """(image, h, w, label, y, x0, x1) of the runs of equal labels above 0."""
-    h, w = labels.shape
-    edge = np.ones((h, w + 1), bool)
-    edge[:, 1:-1] = labels[:, 1:] != labels[:, :-1]
-    ys, xs = np.nonzero(edge[:, :-1])
-    stops = np.nonzero(edge[:, 1:])[1] + 1
-    values = labels[ys, xs]
-    keep = values > 0
-    return [(image, h, w, int(v), int(y), int(a), int(b)) for v, y, a, b in zip(values[keep], ys[keep], xs[keep], stops[keep])]
+    return [(image, *labels.shape, *map(int, r)) for r in flows_table.runs_of(labels).itertuples(index=False)]
 
 
 def label_runs(spark: SparkSession, directory: str) -> DataFrame:
@@ -96,7 +89,7 @@ def label_runs(spark: SparkSession, directory: str) -> DataFrame:
         return runs_of(k, labels if labels.ndim == 2 else labels[..., 0])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_labels.png").load(directory)
-    return _from_files(files, one, RUNS, F.regexp_replace(stem(F.col("path")), "_labels$", ""))
+    return _from_files(files, one, flows_table.RUNS, F.regexp_replace(stem(F.col("path")), "_labels$", ""))
 
 
 def mask_runs(spark: SparkSession, directory: str, pattern: str = "*.png", connectivity: int = 8, min_area: int = 1) -> DataFrame:
@@ -110,7 +103,7 @@ def mask_runs(spark: SparkSession, directory: str, pattern: str = "*.png", conne
         return runs_of(k, raster.components(mask, connectivity, min_area) if len(np.unique(mask)) <= 2 else mask.astype(np.int32))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    return _from_files(files, one, RUNS, stem(F.col("path")))
+    return _from_files(files, one, flows_table.RUNS, stem(F.col("path")))
 
 
 def flow_audit(spark: SparkSession, directory: str, header_only: bool = True) -> DataFrame:
