@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers that don't have it on their path; once for a session's context."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    paths = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    if getattr(context, "_granulon_shipped", False) or (context.master.startswith("local") and str(root) in paths):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="granulon-"), "granulon.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted((root / "granulon").rglob("*.py")):
+            out.write(p, p.relative_to(root))
+    context.addPyFile(archive)
+    context._granulon_shipped = True
