@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from granulon.llm.common import Recent, map_rows, text_of
 
 #: Entries each worker keeps of pieces and of token pairs.
-MAX_PIECES = 400_000
+MAX_PIECES = 600_000
 MAX_PAIRS = 400_000
 
 
@@ -53,6 +53,12 @@ class ByteBPE:
                     self.usable[token] = i
                     break  # a token without such parts is never made by merges; only a whole piece can be it
         self._pairs.clear()
+        # Of the last three bytes of a prefix: how long tokens with that end are, longest first; 2 and 1 always may be.
+        ends: dict[bytes, set[int]] = {}
+        for token in self.usable:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {end: (*sorted(found, reverse=True), 2, 1) for end, found in ends.items()}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -83,15 +89,6 @@ class ByteBPE:
             known = self._pairs[a, b] = self._apart(a, b)
         return known
 
-    def last_token(self, data: bytes, last: list[int], end: int) -> int:
-        """The token that ends the encoding of data[:end], given those of all shorter prefixes."""
-        usable = self.usable
-        for start in range(max(0, end - self.longest), end):
-            token = usable.get(data[start:end])
-            if token is not None and (start == 0 or self.may_follow(last[start], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def table(self, data: bytes = b"") -> PrefixTable:
         return PrefixTable(self, data)
 
@@ -119,7 +116,22 @@ class PrefixTable:
         """Add bytes at the end; what is stored of the prefixes so far stays as it is."""
         self.data += more
         for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self.bpe.last_token(self.data, self.last, end))
+            self.last.append(self._last_token(end))
+
+    def _last_token(self, end: int) -> int:
+        """The token that ends the encoding of data[:end], given those of all shorter prefixes."""
+        data, last, bpe = self.data, self.last, self.bpe
+        for n in bpe.lengths.get(data[max(0, end - 3) : end], (2, 1)):
+            start = end - n
+            if start >= 0:
+                token = bpe.usable.get(data[start:end])
+                if token is not None:
+                    if start == 0:
+                        return token
+                    follows = bpe._pairs.get((last[start], token))
+                    if follows or (follows is None and bpe.may_follow(last[start], token)):
+                        return token
+        raise ValueError("the vocabulary lacks a byte")
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace data[start:stop]; returns how many prefixes were worked out anew."""
@@ -128,7 +140,7 @@ class PrefixTable:
         self.last = old[: start + 1]
         same = done = 0
         for end in range(start + 1, len(self.data) + 1):
-            token = self.bpe.last_token(self.data, self.last, end)
+            token = self._last_token(end)
             self.last.append(token)
             done += 1
             # The next entry depends on no more than the last `longest` entries and bytes.
