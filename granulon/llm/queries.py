@@ -92,5 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others are beyond SQL: libraries' tokens, XXH64, forests, regressions, Feistel networks, parsing of HTML, packing."""
-    return {"op3_spotsigs": spotsigs.ORACLE_SQL, "op7_license_scan": licenses.oracle_sql()}
+    """The others are beyond SQL: libraries' tokens, XXH64 (op2, op3), forests, regressions, Feistel networks, parsing of HTML, packing."""
+    return {"op7_license_scan": licenses.oracle_sql()}

@@ -139,6 +139,10 @@ def test_compare_with_edits(spark):
         assert abs(r.near_next - jaccard(plain_signatures(text), plain_signatures(after))) < 1e-9
         assert len(r.fingerprint) == 16 * len(plain_signatures(text))
     assert got[0].fingerprint == got[42].fingerprint != got[28].fingerprint
+    # The fingerprint holds the whole set: the likeness is that of the strings' parts.
+    parts = lambda f: {f[i : i + 16] for i in range(0, len(f), 16)}
+    for k in range(len(TEXTS)):
+        assert abs(got[7 * k].near_edited - jaccard(parts(got[7 * k].fingerprint), parts(got[7 * k].edited_fingerprint))) < 1e-9
 
 
 def test_next_across_far_stretches(spark):
@@ -168,7 +172,7 @@ def test_similar_sets_equal_brute_force(spark):
         base = sets.get(rng.choice(list(sets)), set()) if sets and rng.random() < 0.6 else set()
         s = {x for x in base if rng.random() < 0.93} | {rng.randint(0, 400) for _ in range(rng.randint(0, 4))}
         sets[i] = s
-    df = spark.createDataFrame([(i, sorted(map(str, s))) for i, s in sets.items()], "id bigint, sig array<string>")
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id bigint, sig array<bigint>")
     for least in (0.5, 0.8, 1.0):
         expected = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= least - 1e-12}
         assert {(r.a, r.b) for r in spotsigs.similar_sets(df, least).collect()} == expected

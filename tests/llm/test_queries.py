@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import regex
 from pyspark.sql import functions as F
-from test_dedup import plain_fingerprint, plain_roots
+from test_dedup import jaccard, plain_fingerprint, plain_roots, plain_signatures
 from test_text import luhn, plain_feistel
 from test_tokens import library, plain_best_fit, theirs
 
@@ -56,6 +56,19 @@ def test_op2(spark, sf_dir, docs):
     assert {tuple(r) for r in rows(spark, sf_dir, "op2_simhash")} == {(i, f"{prints[i]:016x}", roots[i]) for i in prints}
 
 
+def test_op3(spark, sf_dir, docs):
+    got = {r.doc_id: r for r in rows(spark, sf_dir, "op3_spotsigs")}
+    sets = [plain_signatures(t) for _, t in docs]
+    for k, (i, text) in enumerate(docs):
+        after, half = docs[(k + 1) % len(docs)][1], len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (len(r.fingerprint), len(r.edited_fingerprint)) == (16 * len(sets[k]), 16 * len(plain_signatures(edited)))
+        assert abs(r.near_edited - jaccard(sets[k], plain_signatures(edited))) < 1e-9
+        assert abs(r.near_next - jaccard(sets[k], sets[(k + 1) % len(docs)])) < 1e-9
+
+
 def test_op4(spark, sf_dir, docs):
     expected, lengths = set(), []
     for i, text in docs:
