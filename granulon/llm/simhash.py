@@ -11,6 +11,7 @@ spanning forest of its links, not all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -64,17 +65,22 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_rows(rows, make, f"{id_col} {kind}, text_hash bigint, fp bigint")
 
 
+@lru_cache(maxsize=None)
 def index_keys(width: int, shared: int) -> list[tuple[int, ...]]:
     """Sets of `width` byte positions such that any `shared` positions contain one of them whole."""
     width = min(width, shared)
-    if width == shared:
-        return list(combinations(range(POSITIONS), width))
-    # Positions dealt into groups: by the pigeonhole principle some group holds enough of any choice.
     if width == 1:
         return [(p,) for p in range(POSITIONS - shared + 1)]
+    # Positions dealt into groups: by the pigeonhole principle some group holds enough of any choice.
     groups = max(1, (shared - 1) // (width - 1))
-    dealt = [range(g, POSITIONS, groups) for g in range(groups)]
-    return [key for group in dealt for key in combinations(group, width)]
+    dealt = [key for g in range(groups) for key in combinations(range(g, POSITIONS, groups), width)]
+    # Or what is contained in the most choices left, one after the other.
+    left, greedy = set(combinations(range(POSITIONS), shared)), []
+    while left:
+        best = max(combinations(range(POSITIONS), width), key=lambda k: sum(set(k) <= set(c) for c in left))
+        greedy.append(best)
+        left = {c for c in left if not set(best) <= set(c)}
+    return min(dealt, greedy, key=len)
 
 
 def index_width(entries: int, shared: int) -> int:
