@@ -11,8 +11,8 @@ length are counted in many slices.
 
 from __future__ import annotations
 
+import json
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -130,8 +130,8 @@ def place(pieces: DataFrame, capacity: int, length_col: str = "length") -> DataF
     counts = {r[0]: r[1] for r in pieces.groupBy(length_col).count().collect()}  # no more rows than capacity
     moves = plan(counts, capacity)
     # A frequent length is ranked in slices: rank within the slice, and how many stand in the slices before.
-    slices = {n: -(-k // SLICE) for n, k in counts.items() if k > SLICE}
-    n_slices = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in slices.items() for x in p]), F.col(length_col).cast("int")), F.lit(1)) if slices else F.lit(1)
+    slices = [-(-counts.get(n, 0) // SLICE) or 1 for n in range(1, capacity + 1)]
+    n_slices = F.element_at(F.from_json(F.lit(json.dumps(slices)), "array<int>"), F.col(length_col).cast("int"))  # one literal array
     dealt = pieces.select(*names, F.pmod(F.xxhash64(*names), n_slices).cast("int").alias("_slice"))
     before = Window.partitionBy(length_col).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(length_col, "_slice").agg(F.count("*").alias("_n")).select(length_col, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
