@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from granulon.llm.common import Recent, map_rows, text_of
 
-#: Entries each worker keeps of pieces and of token pairs.
-MAX_PIECES = 600_000
-MAX_PAIRS = 400_000
+#: Entries each worker keeps of pieces, of prefixes' last tokens, and of token pairs; bytes of a piece whose prefixes are kept.
+MAX_PIECES, MAX_PREFIXES, MAX_PAIRS = 500_000, 600_000, 400_000
+LONGEST_PIECE = 64
 
 
 class ByteBPE:
@@ -40,6 +40,7 @@ class ByteBPE:
         self.merged: dict[tuple[int, int], int] = {}
         self.usable: dict[bytes, int] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._prefixes: dict[bytes, int] = {}
         self._pieces = Recent(self.encode_piece, MAX_PIECES)
         for token, i in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1:
@@ -92,11 +93,30 @@ class ByteBPE:
     def table(self, data: bytes = b"") -> PrefixTable:
         return PrefixTable(self, data)
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one match of the pattern; a piece that is a token as a whole is that token."""
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of one match of the pattern; a piece that is a token as a whole is that token.
+
+        What ends a prefix is the same in all pieces, so a piece goes on from the longest prefix known.
+        """
         data = piece.encode()
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else PrefixTable(self, data).ids()
+        if whole is not None:
+            return (whole,)
+        table = PrefixTable(self)
+        if len(data) > LONGEST_PIECE:
+            table.append(data)
+            return tuple(table.ids())
+        known, last = self._prefixes, table.last
+        if len(known) > MAX_PREFIXES:
+            known.clear()
+        table.data = data
+        for end in range(1, len(data) + 1):
+            prefix = data[:end]
+            token = known.get(prefix)
+            if token is None:
+                token = known[prefix] = table.last_token(end)
+            last.append(token)
+        return tuple(table.ids())
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self._pieces.__getitem__, self.pattern.findall(text))))
@@ -116,9 +136,9 @@ class PrefixTable:
         """Add bytes at the end; what is stored of the prefixes so far stays as it is."""
         self.data += more
         for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._last_token(end))
+            self.last.append(self.last_token(end))
 
-    def _last_token(self, end: int) -> int:
+    def last_token(self, end: int) -> int:
         """The token that ends the encoding of data[:end], given those of all shorter prefixes."""
         data, last, bpe = self.data, self.last, self.bpe
         for n in bpe.lengths.get(data[max(0, end - 3) : end], (2, 1)):
@@ -140,7 +160,7 @@ class PrefixTable:
         self.last = old[: start + 1]
         same = done = 0
         for end in range(start + 1, len(self.data) + 1):
-            token = self._last_token(end)
+            token = self.last_token(end)
             self.last.append(token)
             done += 1
             # The next entry depends on no more than the last `longest` entries and bytes.
