@@ -135,6 +135,20 @@ def test_licences(spark, odd, none):
     assert licenses.scan(none, F.col("source")).count() == 0
 
 
+def test_a_short_text_with_a_notice_is_no_licence_file(spark):
+    line, whole = "This work is licensed under the GNU General Public License, version 3.", licenses.TEMPLATES[2][1].capitalize() + "."
+    rows = [
+        (1, "s/en/1.txt", "Was orer.\n" + line), (2, "s/en/2.txt", "A clean text."), (3, "s/en/3.txt", "\n".join([line] * 5)), (4, "s/en/4.txt", None),
+        (5, "w/5.txt", whole), (6, "w/x/6.txt", "A clean text."), (7, "n/LICENSE", line), (8, "n/8.txt", "A clean text."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.origin_dir) for r in licenses.scan(df, F.col("path")).collect()}
+    assert got == {
+        1: ("GPL-3.0", "own", None), 2: (None, None, None), 3: ("GPL-3.0", "own", None), 4: (None, None, None),
+        5: ("MIT", "own", None), 6: ("MIT", "inherited", "w"), 7: ("GPL-3.0", "own", None), 8: ("GPL-3.0", "inherited", "n"),
+    }
+
+
 def test_licence_score_is_the_cosine(spark):
     texts = ["Licensed under the MIT license by us.", "nothing here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
