@@ -12,6 +12,7 @@ and an article without any decided block is good.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -47,12 +48,15 @@ BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog
 _PIECE = re.compile(
     r"(?P<text>[^<]+)"
     r"|<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|object|svg|math|canvas|video|audio)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<left>noscript|template|textarea|iframe|object|svg|canvas|video|audio|annotation-xml|annotation)(?=[\s/>])(?P<own>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>"
     r"|(?P<odd><)",
     re.S | re.I,
 )
+#: Tags of one name, besides comments, scripts and styles with tags in them.
+_SAME = r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>{})(?=[\s/>])(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -77,6 +81,38 @@ def _is_bad(tag: str, rest: str, within: bool) -> bool:
     return False
 
 
+def _ends(html: str, name: str) -> dict[int, int]:
+    """Where each closed element of a name ends, by where it begins."""
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(_SAME.format(name), html, re.S | re.I):
+        if m["end"]:
+            if begun:
+                out[begun.pop()] = m.end()
+        elif m["tag"] and not (name == "svg" and m[0].endswith("/>")):
+            begun.append(m.start())
+    return out
+
+
+def _pieces(html: str) -> Iterator[re.Match]:
+    """Texts and tags without elements that hold no text of the page; of such an element that never ends, only the tag is left out."""
+    ends: dict[str, dict[int, int]] = {}
+    at: int | None = 0
+    while at is not None:
+        begin, at = at, None
+        for piece in _PIECE.finditer(html, begin):
+            name = piece["left"]
+            if not name:
+                yield piece
+            elif not (name.lower() == "svg" and piece["own"].endswith("/")):
+                name = name.lower()
+                if name not in ends:
+                    ends[name] = _ends(html, name)
+                at = ends[name].get(piece.start())
+                if at is not None:
+                    break
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks with text, in page order. Part 0 is what lies in no article."""
     out: list[Block] = []
@@ -96,7 +132,7 @@ def blocks(html: str) -> list[Block]:
         linked = 0
         heading = False
 
-    for piece in _PIECE.finditer(html):
+    for piece in _pieces(html):
         text = piece["text"] or piece["odd"]
         if text:
             if "&" in text:

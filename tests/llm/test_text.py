@@ -274,6 +274,25 @@ def test_broken_pages(page):
     html.main_text(page)
 
 
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [
+        ('<svg class="icon"/>', ""), ("<svg title='a>b' />", ""), ("<math/>", ""), ("<noscript>", ""), ("<template>", ""), ("<iframe src=x>", ""), ("<VIDEO controls>", ""), ("<video-js>a clip</video-js>", "a clip"),
+        ("<audio-player></audio-player>", ""), ("<template-x>y</template-x>", "y"), ("<svg><svg/><title>no</title><svg><text>no</text></svg>no</svg>", ""), ("<object><!-- </object> -->no</object>", ""),
+        ("<math><mi>a</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>a = 2</annotation></math>", "a=2"), ("<noscript>no</noscript>", ""), ("<textarea>no</textarea >", ""), ("<script>no</script x>", ""),
+        ("<noscript><p>kept</p><noscript>no</noscript>", "kept"),
+    ],
+)
+def test_elements_without_text_do_not_swallow_the_page(inside, text):
+    page = f"<body><article><p>It was the first.</p><div>{inside}</div><p>So it was the last.</p></article></body>"
+    assert html.main_text(page).split("\n") == ["It was the first.", *([text] if text else []), "So it was the last."]
+
+
+def test_many_elements_without_an_end():
+    page = "<article><p>It was.</p>" + "<svg>a<video>" * 20_000 + "<p>So it is.</p></article>"
+    assert html.main_text(page).endswith("So it is.")
+
+
 def test_page_without_an_article():
     good = "<p>" + "It is one of those things that we do for the good of all and not for the few who have it. " * 4 + "</p>"
     page = f"<body><div><a href=x>Home</a> <a href=y>News</a></div>{good}<p>So it was.</p>{good}<p>{'<a href=z>link of links</a> ' * 9}</p><p>Short at the end</p></body>"
