@@ -38,11 +38,14 @@ BLOCKS = frozenset(
 #: Elements that hold others and whose end counts; p, li and the like end where the next block begins.
 HOLDERS = frozenset("article aside body button details dialog div dl fieldset figure footer form head header html main menu nav ol section select table title ul".split())
 BAD_PARTS = frozenset("aside button dialog footer form head header menu nav select title".split())
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|captcha|comments?|consent|cookies?|disclaimer|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|"
-    r"pager|pagination|popup|promo|promotion|recommended|related|replies|reply|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|tags|toolbar|widget)s?(?:$|[\s_-])",
-    re.I,
-)
+#: Parts of names by what they say: articles there are not the page's own; text there is not, however well it reads; or often just where something is.
+_FOREIGN = "ads?|adverts?|advertisement|comments?|disqus|promo|promotion|recommended|related|replies|reply|sponsor|sponsored"
+_FIRM = "captcha|consent|cookies?|disclaimer|footer|login|modal|newsletter|notice|notification|popup|signup|subscribe|subscription|widget"
+_LAYOUT = "banner|breadcrumbs?|header|masthead|menu|nav|navbar|navigation|pager|pagination|search|share|sharing|sidebar|skip|social|tags|toolbar"
+# Names of the page's layout (no-sidebar, has-header, sidebar-layout) say nothing of the element itself.
+BAD_NAMES = re.compile(rf"(?:^|(?<=[\s_-]))(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bwithout[_-])(?:(?P<foreign>{_FOREIGN})|(?P<firm>{_FIRM})|(?P<layout>{_LAYOUT}))s?(?![_-]layout(?:$|[\s_-]))(?:$|(?=[\s_-]))", re.I)
+#: How bad an element is: not, by a name of each kind, or by its tag, role or being hidden.
+GOOD, LAYOUT, FIRM, FOREIGN, MARKUP = range(5)
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 _PIECE = re.compile(
@@ -61,24 +64,26 @@ _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "part", "heading")
+    __slots__ = ("text", "linked", "bad", "part", "heading", "named")
 
-    def __init__(self, text: str, linked: int, bad: bool, part: int, heading: bool):
-        self.text, self.linked, self.bad, self.part, self.heading = text, linked, bad, part, heading
+    def __init__(self, text: str, linked: int, bad: int, part: int, heading: bool, named: int):
+        self.text, self.linked, self.bad, self.part, self.heading, self.named = text, linked, bad, part, heading, named
 
 
-def _is_bad(tag: str, rest: str, within: bool) -> bool:
-    """Whether an element's own name or attributes say that it is no main text."""
+def _badness(tag: str, rest: str, within: bool) -> int:
+    """How surely an element's own name or attributes say that it is no main text."""
     if tag in BAD_PARTS and not (within and tag == "header"):
-        return True
+        return MARKUP
+    bad = GOOD
     if rest and "=" in rest or "hidden" in rest:
         for name, *values in _ATTRIBUTE.findall(rest):
             name, value = name.lower(), "".join(values)
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in BAD_ROLES):
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and BAD_NAMES.search(value):
-                return True
-    return False
+                return MARKUP
+            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                for m in BAD_NAMES.finditer(value):
+                    bad = max(bad, FOREIGN if m["foreign"] else FIRM if m["firm"] else LAYOUT)
+    return bad
 
 
 def _ends(html: str, name: str) -> dict[int, int]:
@@ -117,17 +122,18 @@ def blocks(html: str) -> list[Block]:
     """The blocks with text, in page order. Part 0 is what lies in no article."""
     out: list[Block] = []
     held: list[str] = []
-    linked = parts = breaks = 0
+    linked = parts = breaks = names = 0
     link = heading = False
-    # Open holders: (tag, bad, part); what an element says holds for all within.
-    open_: list[tuple[str, bool, int]] = [("", False, 0)]
+    # Open holders: (tag, bad, part, number of the nearest element with a layout name); what an element says holds for all within,
+    # but a name not for the page's articles.
+    open_: list[tuple[str, int, int, int]] = [("", GOOD, 0, 0)]
 
     def flush() -> None:
         nonlocal linked, heading
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(text, linked, open_[-1][1], open_[-1][2], heading))
+                out.append(Block(text, linked, open_[-1][1], open_[-1][2], heading, open_[-1][3]))
             held.clear()
         linked = 0
         heading = False
@@ -165,54 +171,67 @@ def blocks(html: str) -> list[Block]:
                             break
             else:
                 heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-                _, bad, part = open_[-1]
+                _, bad, part, named = open_[-1]
                 if tag == "body":
                     del open_[1:]
-                    bad, part = False, 0
+                    bad, part, named = GOOD, 0, 0
                 if tag in HOLDERS and not piece["rest"].endswith("/"):
                     if tag in ("article", "main") and not part:
                         parts += 1
                         part = parts
-                    open_.append((tag, bad or _is_bad(tag, piece["rest"], part > 0), part))
+                    if (tag == "main" and bad < MARKUP) or (tag == "article" and bad < FOREIGN and all(o[0] != "article" for o in open_)):
+                        bad = GOOD
+                    own = _badness(tag, piece["rest"], part > 0)
+                    if own == LAYOUT:
+                        names += 1
+                        named = names
+                    open_.append((tag, max(bad, own), part, named))
     flush()
     return out
 
 
+def _density(text: str) -> float:
+    """The share of stop words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()#*$%&") in STOP_WORDS for w in words) / len(words)
+
+
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     good: list[bool | None] = []
     near: list[bool] = []
-    for b in found:
+    density = [_density(b.text) if b.bad <= LAYOUT and len(b.text) >= SHORT else 0.0 for b in found]
+    # An element with a layout name is judged like others if it has a long good block without links.
+    mended = {b.named for b, d in zip(found, density) if b.bad == LAYOUT and not b.linked and d >= MOST_STOP and len(b.text) > LONG}
+    bad = [b.bad > LAYOUT or (b.bad == LAYOUT and b.named not in mended) for b in found]
+    for b, by_markup, d in zip(found, bad, density):
         n = len(b.text)
         label: bool | None
         nearly = False
-        if b.bad or b.linked > MOST_LINKED * n or (not b.part and "\xa9" in b.text):
+        if by_markup or b.linked > MOST_LINKED * n or (not b.part and "\xa9" in b.text):
             label = False
         elif n < SHORT:
             label = None
+        elif d >= MOST_STOP and n > LONG:
+            label = True
+        elif d >= LEAST_STOP or b.part:
+            label, nearly = None, True
         else:
-            words = b.text.lower().split()
-            density = sum(w.strip(".,;:!?\"'()#*$%&") in STOP_WORDS for w in words) / len(words)
-            if density >= MOST_STOP and n > LONG:
-                label = True
-            elif density >= LEAST_STOP or b.part:
-                label, nearly = None, True
-            else:
-                label = False
+            label = False
         good.append(label)
         near.append(nearly)
     # Nearest decided labels before and behind, within the same part; blocks that markup decides don't count.
     before: list[bool | None] = []
     last: dict[int, bool] = {}
-    for b, g in zip(found, good):
+    for b, g, by_markup in zip(found, good, bad):
         before.append(last.get(b.part))
-        if g is not None and not b.bad:
+        if g is not None and not by_markup:
             last[b.part] = g
     behind: list[bool | None] = []
     last = {}
-    for b, g in zip(reversed(found), reversed(good)):
+    for b, g, by_markup in zip(reversed(found), reversed(good), reversed(bad)):
         behind.append(last.get(b.part))
-        if g is not None and not b.bad:
+        if g is not None and not by_markup:
             last[b.part] = g
     out = []
     for b, g, nearly, x, y in zip(found, good, near, before, reversed(behind)):

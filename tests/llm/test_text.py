@@ -288,6 +288,28 @@ def test_elements_without_text_do_not_swallow_the_page(inside, text):
     assert html.main_text(page).split("\n") == ["It was the first.", *([text] if text else []), "So it was the last."]
 
 
+DENSE = "It is one of those things that we do for the good of all and not for the few who have it. " * 4
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "content with-sidebar", "has-header", "page-search-result", "sidebar-layout", "modal-open page", "cookie_notice"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_a_bad_name_does_not_hold_for_the_article(name, tag):
+    page = f"<body><div class='{name}'><p>Menu of the site</p><{tag}><p>{DENSE}</p><p>So it was.</p></{tag}></div></body>"
+    assert html.main_text(page).endswith(f"{DENSE.strip()}\nSo it was.")
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "content with-sidebar", "has-header", "page-search-result", "sidebar_layout"])
+def test_good_text_of_a_layout_wrapper_stays(name):
+    page = f"<body><div class='{name}'><ul class='menu'><li><a href=x>Home of all</a></ul><p>{DENSE}</p><p>So it was.</p><p>{DENSE}</p></div></body>"
+    assert html.main_text(page) == f"{DENSE.strip()}\nSo it was.\n{DENSE.strip()}"
+
+
+@pytest.mark.parametrize("part", ["<div class='comments'><article>{}</article></div>", "<aside><article>{}</article></aside>", "<div class='cookie-notice'><p>{}</p></div>", "<div class='sidebar'><p>The end of it</p></div>", "<div hidden class='no-sidebar'><main>{}</main></div>", "<div class='site-header'><p>Our site for all</p></div>"])
+def test_bad_names_still_hold(part):
+    other = part.format("<p>" + DENSE.replace("good", "bad") + "</p>")
+    assert html.main_text(f"<body><article><p>{DENSE}</p></article>{other}</body>") == DENSE.strip()
+
+
 def test_many_elements_without_an_end():
     page = "<article><p>It was.</p>" + "<svg>a<video>" * 20_000 + "<p>So it is.</p></article>"
     assert html.main_text(page).endswith("So it is.")
