@@ -149,6 +149,31 @@ def test_a_short_text_with_a_notice_is_no_licence_file(spark):
     }
 
 
+def test_no_sentence_with_the_least_cosine_is_skipped(spark):
+    """All sentences of the texts against all templates one by one."""
+    first = ["Available under CC BY-SA 4.0.", "Distributed under Apache 2.0", "Lizenziert unter CC BY 4.0", "Bajo licencia CC BY-SA 4.0", "The mozilla public v 2.0 source code form.", "Apache", "Licensed under the MIT license.", "x", ""]
+    texts = [*first, *(f"the day of the year is {k} and it is to be free to all in this by any use of a file" for k in range(60))]
+    sets = [{w for w in re.split(r"[^\w.]+|\.(?!\d)", t.lower()) if w} for t in texts]
+    idf = lambda w: np.log((1 + len(texts)) / (1 + sum(w in s for s in sets))) + 1
+    known = {w: idf(w) for _, notice in licenses.TEMPLATES for w in notice.split()}
+    expected = {}
+    for i, text in enumerate(texts):
+        own = [w for w in re.split(r"[^\w.]+|\.(?!\d)", text.lower()) if w]
+        a = {w: own.count(w) * known.get(w, np.log(1 + len(texts)) + 1) for w in own}
+        found = []
+        for name, notice in licenses.TEMPLATES:
+            b = {w: notice.split().count(w) * known[w] for w in notice.split()}
+            found.append((-round(sum(a[w] * b.get(w, 0) for w in a) / np.sqrt((sum(x * x for x in a.values()) or 1) * sum(x * x for x in b.values())), 9), name))
+        score, name = min(found)
+        expected[i] = (name, -score) if -score >= licenses.LEAST else None
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r._license and (r._license, r._score) for r in licenses.own_licences(df).collect()}
+    assert {i: e and e[0] for i, e in got.items()} == {i: e and e[0] for i, e in expected.items()}
+    assert all(abs(got[i][1] - e[1]) < 1e-6 for i, e in expected.items() if e)
+    assert expected[0] and expected[0][0] == "CC-BY-SA-4.0" and expected[1] and expected[1][0] == "Apache-2.0"
+    assert got[3] and got[3][0] == "CC-BY-SA-4.0"
+
+
 def test_licence_score_is_the_cosine(spark):
     texts = ["Licensed under the MIT license by us.", "nothing here"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
