@@ -12,6 +12,7 @@ and an article without any decided block is good.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,18 +49,16 @@ BAD_NAMES = re.compile(rf"(?:^|(?<=[\s_-]))(?<!\bno[_-])(?<!\bhas[_-])(?<!\bwith
 GOOD, LAYOUT, FIRM, FOREIGN, MARKUP = range(5)
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
-_PIECE = re.compile(
-    r"(?P<text>[^<]+)"
-    r"|<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<left>noscript|template|textarea|iframe|object|svg|canvas|video|audio|annotation-xml|annotation)(?=[\s/>])(?P<own>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>"
-    r"|(?P<odd><)",
-    re.S | re.I,
-)
-#: Tags of one name, besides comments, scripts and styles with tags in them.
-_SAME = r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>{})(?=[\s/>])(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>"
+# Where a tag, a comment or a declaration begins.
+_BEGIN = re.compile(r"<(?:(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)|(?P<comment>!--)|[!?/])")
+_EMPTY = re.compile("-?>")  # behind <!--
+#: What can end a tag, or begin a quoted value that may hold such an end.
+_STOP = re.compile(r">|=\s*+([\"'])")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
+#: Elements without text of the page; with their content they are left out, if they end.
+LEFT_OUT = frozenset("noscript template textarea iframe object svg canvas video audio annotation-xml annotation".split())
+# Character references that name no character: more digits than any has; and zeros in front.
+_ZEROS, _ENDLESS = re.compile(r"&#0++(?=[0-9])"), re.compile(r"&#[0-9]{8,}+;?")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -86,36 +85,87 @@ def _badness(tag: str, rest: str, within: bool) -> int:
     return bad
 
 
-def _ends(html: str, name: str) -> dict[int, int]:
-    """Where each closed element of a name ends, by where it begins."""
-    out: dict[int, int] = {}
-    begun: list[int] = []
-    for m in re.finditer(_SAME.format(name), html, re.S | re.I):
-        if m["end"]:
-            if begun:
-                out[begun.pop()] = m.end()
-        elif m["tag"] and not (name == "svg" and m[0].endswith("/>")):
-            begun.append(m.start())
-    return out
+def _tokens(html: str) -> list[tuple[str, str, bool, str]]:
+    """(text, tag, is an end, attributes) of texts and tags, one or the other, without comments, scripts and styles.
+
+    Every character is looked at a bounded number of times, however broken the page. A tag without an end is
+    text; one with a value whose quote never ends is taken to end at its first ">".
+    """
+    out: list[tuple[str, str, bool, str]] = []
+    last = html.rfind(">")
+    quotes = {q: html.rfind(q) for q in "\"'"}
+    hopeless: set[int] = set()  # places of quoted values from which on no tag ends
+
+    def close(at: int) -> int:
+        """Where the tag ends whose name ends at `at`."""
+        first, seen = at, []
+        while at <= last:
+            m = _STOP.search(html, at)
+            if not m:
+                break
+            if not m[1]:
+                return m.start()
+            at = m.end()
+            seen.append(at)
+            if at in hopeless or at > quotes[m[1]]:
+                break
+            at = html.index(m[1], at) + 1
+        hopeless.update(seen)
+        return html.index(">", first)
+
+    at = 0
+    while True:
+        begin = html.find("<", at)
+        if begin < 0 or begin > last:
+            rest = html[at:].partition("<!--")[0]
+            if rest:
+                out.append((rest, "", False, ""))
+            return out
+        if begin > at:
+            out.append((html[at:begin], "", False, ""))
+        m = _BEGIN.match(html, begin)
+        if not m:
+            out.append(("<", "", False, ""))
+            at = begin + 1
+        elif m["comment"]:
+            empty = _EMPTY.match(html, begin + 4)
+            end = html.find("-->", begin + 4)
+            at = empty.end() if empty else end + 3 if end >= 0 else len(html)
+        elif not m["tag"]:
+            at = html.index(">", begin) + 1
+        else:
+            tag, end = m["tag"].lower(), close(m.end())
+            rest, at = html[m.end() : end], end + 1
+            if tag in _RAW_END and not m["end"]:
+                over = _RAW_END[tag].search(html, at)
+                at = html.index(">", over.end()) + 1 if over and over.end() <= last else len(html)
+            else:
+                out.append(("", tag, bool(m["end"]), rest))
 
 
-def _pieces(html: str) -> Iterator[re.Match]:
+def _pieces(html: str) -> Iterator[tuple[str, str, bool, str]]:
     """Texts and tags without elements that hold no text of the page; of such an element that never ends, only the tag is left out."""
-    ends: dict[str, dict[int, int]] = {}
-    at: int | None = 0
-    while at is not None:
-        begin, at = at, None
-        for piece in _PIECE.finditer(html, begin):
-            name = piece["left"]
-            if not name:
-                yield piece
-            elif not (name.lower() == "svg" and piece["own"].endswith("/")):
-                name = name.lower()
-                if name not in ends:
-                    ends[name] = _ends(html, name)
-                at = ends[name].get(piece.start())
-                if at is not None:
-                    break
+    tokens = _tokens(html)
+    begun: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for i, (_, tag, end, rest) in enumerate(tokens):
+        if tag in LEFT_OUT:
+            if not end:
+                if not (tag == "svg" and rest.endswith("/")):
+                    begun.setdefault(tag, []).append(i)
+            elif begun.get(tag):
+                ends[begun[tag].pop()] = i
+    at = 0
+    while at < len(tokens):
+        if tokens[at][1] not in LEFT_OUT:
+            yield tokens[at]
+        at = ends.get(at, at) + 1
+
+
+def _unescaped(text: str) -> str:
+    if "&#" in text:
+        text = _ENDLESS.sub("�", _ZEROS.sub("&#", text))
+    return unescape(text)
 
 
 def blocks(html: str) -> list[Block]:
@@ -127,6 +177,7 @@ def blocks(html: str) -> list[Block]:
     # Open holders: (tag, bad, part, number of the nearest element with a layout name); what an element says holds for all within,
     # but a name not for the page's articles.
     open_: list[tuple[str, int, int, int]] = [("", GOOD, 0, 0)]
+    held_open: Counter[str] = Counter()  # how many of each are open, so that an end without a beginning costs nothing
 
     def flush() -> None:
         nonlocal linked, heading
@@ -138,54 +189,50 @@ def blocks(html: str) -> list[Block]:
         linked = 0
         heading = False
 
-    for piece in _pieces(html):
-        text = piece["text"] or piece["odd"]
+    for text, tag, is_end, rest in _pieces(html):
         if text:
             if "&" in text:
-                text = unescape(text)
+                text = _unescaped(text)
             held.append(text)
             if breaks and not text.isspace():
                 breaks = 0
             if link:
                 linked += len(text)
-            continue
-        tag = piece["tag"]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag == "br":
+        elif tag == "br":
             held.append(" ")
             breaks += 1
             if breaks > 1:
                 flush()
         elif tag == "a":
-            link = not piece["end"]
+            link = not is_end
         elif tag in BLOCKS:
             flush()
             link, breaks = False, 0
-            if piece["end"]:
-                if tag in HOLDERS:
-                    for i in range(len(open_) - 1, 0, -1):
-                        if open_[i][0] == tag:
-                            del open_[i:]
+            if is_end:
+                if held_open[tag]:
+                    while True:
+                        closed = open_.pop()[0]
+                        held_open[closed] -= 1
+                        if closed == tag:
                             break
             else:
                 heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-                _, bad, part, named = open_[-1]
                 if tag == "body":
                     del open_[1:]
-                    bad, part, named = GOOD, 0, 0
-                if tag in HOLDERS and not piece["rest"].endswith("/"):
+                    held_open.clear()
+                _, bad, part, named = open_[-1]
+                if tag in HOLDERS and not rest.endswith("/"):
                     if tag in ("article", "main") and not part:
                         parts += 1
                         part = parts
-                    if (tag == "main" and bad < MARKUP) or (tag == "article" and bad < FOREIGN and all(o[0] != "article" for o in open_)):
+                    if (tag == "main" and bad < MARKUP) or (tag == "article" and bad < FOREIGN and not held_open["article"]):
                         bad = GOOD
-                    own = _badness(tag, piece["rest"], part > 0)
+                    own = _badness(tag, rest, part > 0)
                     if own == LAYOUT:
                         names += 1
                         named = names
                     open_.append((tag, max(bad, own), part, named))
+                    held_open[tag] += 1
     flush()
     return out
 

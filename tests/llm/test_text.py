@@ -4,6 +4,7 @@ import datetime
 import html as entities
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -340,6 +341,25 @@ def test_many_elements_without_an_end():
     assert html.main_text(page).endswith("So it is.")
 
 
+@pytest.mark.parametrize(
+    "unit",
+    ["<a ", "<a", "<", "</", "<div><p>x</p></span></main>", "<article>", '<a b=">" ', "<p title='", "<svg ", "<svg>", "<!--", "<script>", "</script", "<div class='ad ", "=   ", "<body><div>", "&#1", "<br>", "<textarea><div>"],
+)
+@pytest.mark.parametrize("tail", ["", ">", " x=\"'"])
+def test_much_broken_markup_takes_no_more_than_seconds(unit, tail):
+    begun = time.process_time()
+    html.main_text(unit * (400_000 // len(unit)) + tail)
+    assert time.process_time() - begun < 3  # half a second; what grows with the square takes an hour
+
+
+@pytest.mark.parametrize(
+    ("inside", "text"),
+    [("it's <b it's>old</b>", "it's old"), ("<p title='a>b'>x", "x"), ("<p title=it's>x", "x"), ("<p title='x>y<p>z", "y\nz"), ("<!-->x<!--->y<!-- -- > -->z", "xyz"), ("<!doctype x><?php y ?></ >z", "z"), ("&#" + "0" * 6000 + "65;&#" + "9" * 9000 + ";", "A\ufffd"), ("a <b and < c", "a <b and < c")],
+)
+def test_odd_markup(inside, text):
+    assert html.main_text(f"<article>{inside}" if "<b and" in inside else f"<article>{inside}</article>") == text
+
+
 def test_page_without_an_article():
     good = "<p>" + "It is one of those things that we do for the good of all and not for the few who have it. " * 4 + "</p>"
     page = f"<body><div><a href=x>Home</a> <a href=y>News</a></div>{good}<p>So it was.</p>{good}<p>{'<a href=z>link of links</a> ' * 9}</p><p>Short at the end</p></body>"
