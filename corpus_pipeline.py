@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulon.llm import ordinal, packing, pii, rules, simhash
-from granulon.llm.common import fresh, shared_folder
-from granulon.llm.queries import GRADE, PII_KEY, PII_TEST_KEY, TOP_GRADE, WORD_VOCABULARY
+from granulon.llm.common import shared_folder
+from granulon.llm.queries import GRADE, TOP_GRADE, WORD_VOCABULARY
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced; n_chars follows the text."""
-    found = fresh(docs, "_found")
-    done = pii.pseudonymise(docs, spark.conf.get(PII_KEY, PII_TEST_KEY), found_col=found)
+    done = pii.pseudonymise(docs, pii.secret(spark), found_col="_found")
+    found = done.columns[-1]
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

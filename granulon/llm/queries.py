@@ -12,8 +12,6 @@ from granulon.llm import bpe, html, licenses, ordinal, packing, pii, rules, simh
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
-#: Setting that holds the secret of the pseudonyms; the fallback is for tests and benches only.
-PII_KEY, PII_TEST_KEY = "granulon.pii.key", "not-a-secret"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +36,7 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymise(_read(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, PII_TEST_KEY))
+    done = pii.pseudonymise(_read(spark, sf_dir, "documents"), pii.secret(spark))
     return done.select("doc_id", "text", F.size("pii_found").cast("bigint").alias("n_replaced"), F.array_join("pii_found", " ").alias("kinds"))
 
 

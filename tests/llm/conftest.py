@@ -3,6 +3,14 @@ import pytest
 LONG = "the quick brown fox jumps over a lazy dog. " * 20_000
 
 
+PII_KEY = "the key of the tests"
+
+
+@pytest.fixture(scope="session", autouse=True)
+def key(spark):
+    spark.conf.set("granulon.pii.key", PII_KEY)
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns named like those the operators use."""
