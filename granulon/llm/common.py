@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granulon.session import cut, shared_folder
 
-__all__ = ["cut", "Recent", "filter_rows", "fresh", "map_rows", "partitions", "shared_folder", "slices", "text_of"]
+__all__ = ["cut", "Recent", "filter_rows", "fresh", "join_hot", "map_rows", "partitions", "shared_folder", "slices", "text_of"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -22,6 +22,27 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def join_hot(rows: DataFrame, each: DataFrame, key: str, how: str = "left", shares: int = 1000) -> DataFrame:
+    """rows joined with `each`, which has a key once; a key may hold any share of the rows.
+
+    Keys with more than one in `shares` of the rows, fewer than `shares` of them whatever the input, are
+    dealt to as many places as they have such shares, and only their rows of `each` are copied. rows are
+    read twice, so they should be stored or cheap. Null keys meet nothing and are dealt out too.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    found = counts.where(F.col("n") > total // shares + 1).collect()  # fewer than `shares` rows
+    if not found:
+        return rows.join(each, key, how)
+    places = {r[0]: -(-r[1] * shares // max(1, total)) for r in found}
+    kind = each.schema[key].dataType.simpleString()
+    hot = rows.sparkSession.createDataFrame([(k, n) for k, n in places.items() if k is not None], f"k {kind}, _places int")
+    number = F.coalesce("_places", F.when(F.col("k").isNull() & F.col(key).isNull(), places.get(None, 1)), F.lit(1))
+    dealt = rows.join(F.broadcast(hot), rows[key] == F.col("k"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), number).cast("int")).drop("k", "_places")
+    copies = each.join(F.broadcast(hot), each[key] == F.col("k"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("k", "_places")
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 #: Rows, and bytes about, that a function of columns gets at once.
 SLICE_ROWS, SLICE_BYTES = 1000, 8_000_000
 
