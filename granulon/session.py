@@ -38,10 +38,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_master(master: str) -> bool:
+    """Whether driver and executors are one process; local-cluster has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in its absence (tests) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or in its absence (local sessions only) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not local_master(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="granulon-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
