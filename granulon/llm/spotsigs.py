@@ -12,19 +12,20 @@ prefix must hold, are pruned by their sizes, and compared in full.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granulon.llm.common import cut
+from granulon.llm.common import cut, partitions
 from granulon.llm.components import connected
 
 #: Content words in a chain.
 CHAIN = 3
-#: Document ids side by side that a window orders together.
-STRETCH = 256
+#: Ranges of ids that a shuffle partition gets, about; and ranges at most. A window orders a range.
+RANGES, MOST_RANGES = 16, 100_000
 
 # Anchors, frequent words of English, French, German and Spanish.
 ANCHORS = (
@@ -71,18 +72,21 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(large == 0, 1.0).when((small == 0) | (small < F.lit(least) * large), 0.0).otherwise(common / (small + large - common))
 
 
-def _stretches(docs: DataFrame) -> DataFrame:
-    """(_stretch, _next) of the stretches that occur, the first one behind the last; docs has _stretch.
+def _range_of(docs: DataFrame) -> Column:
+    """The number of the range that holds _id, ascending; ranges have about as many rows each, null ids are below all others.
 
-    Stretches are ordered within stretches of their own. What is ordered in one task at the end is a row
-    for STRETCH ** 2 ids, of two numbers.
+    The bounds are approximate quantiles: no more than MOST_RANGES numbers, and looked up in two steps.
     """
-    own = docs.select("_stretch").distinct().withColumn("_wide", F.floor(F.col("_stretch") / STRETCH))
-    order = Window.orderBy("_wide")
-    ends = own.groupBy("_wide").agg(F.min("_stretch").alias("_first"))
-    ends = ends.select("_wide", F.coalesce(F.lead("_first").over(order), F.min("_first").over(Window.partitionBy())).alias("_behind"))
-    near = F.lead("_stretch").over(Window.partitionBy("_wide").orderBy("_stretch"))
-    return own.withColumn("_near", near).join(ends, "_wide").select("_stretch", F.coalesce("_near", "_behind").alias("_next"))
+    n = min(RANGES * partitions(docs.sparkSession), MOST_RANGES)
+    bounds = sorted(set(docs.agg(F.percentile_approx("_id", [k / n for k in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
+    if not bounds:
+        return F.when(F.col("_id").isNull(), -1).otherwise(0)
+    width = math.isqrt(len(bounds)) + 1
+    chunks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    table = F.from_json(F.lit(json.dumps(chunks)), "array<array<bigint>>")
+    below = lambda found: F.size(F.filter(found, lambda x: x <= F.col("_id")))
+    own = _let(below(F.from_json(F.lit(json.dumps([c[0] for c in chunks])), "array<bigint>")), lambda k: F.when(k == 0, 0).otherwise(k * width + below(F.element_at(table, F.greatest(k, F.lit(1))))))
+    return F.when(F.col("_id").isNull(), -1).otherwise(own)
 
 
 def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,19 +98,23 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by text; the row behind the last one is the first. A single row is its own next document. Rows with
     a null id come first. An empty table gives an empty table; other columns are left out.
 
-    Texts are shuffled once, by short ranges of ids; the first document of a range goes to the range
-    before it besides.
+    Texts are shuffled once, by ranges of ids with about as many rows each, whatever the ids look like; the
+    first document of a range goes to the range before it besides. The driver sees the bounds of the
+    ranges and their first ids.
     """
-    stretch = F.coalesce(F.floor(F.col(id_col) / STRETCH), F.lit(-(2**62)).cast("bigint"))
-    docs = df.select(F.col(id_col).alias("_id"), stretch.alias("_stretch"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    own = Window.partitionBy("_stretch").orderBy("_id", "_text")
+    docs = df.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    docs = docs.withColumn("_range", _range_of(docs))
+    own = Window.partitionBy("_range").orderBy("_id", "_text")
     # Dealt out by hand, so that texts are shuffled without their signatures.
-    dealt = docs.repartition("_stretch").withColumn("_sig", signatures(F.col("_text")))
+    dealt = docs.repartition("_range").withColumn("_sig", signatures(F.col("_text")))
     ordered = dealt.withColumn("_after", F.lead(F.struct("_text", "_sig")).over(own))
-    heads = docs.withColumn("_rank", F.row_number().over(own)).where("_rank = 1")
-    heads = heads.select(F.col("_stretch").alias("_next"), F.struct("_text", signatures(F.col("_text")).alias("_sig")).alias("_head"))
-    heads = heads.join(_stretches(docs), "_next").select(F.col("_stretch").alias("_s"), "_head")
-    joined = ordered.join(heads, (F.col("_stretch") == F.col("_s")) & F.col("_after").isNull(), "left")
+    firsts = sorted(docs.groupBy("_range").agg(F.min("_id")).collect())  # a row for each range
+    behind = [(k, firsts[(i + 1) % len(firsts)][1], firsts[(i + 1) % len(firsts)][0]) for i, (k, _) in enumerate(firsts)]
+    behind = F.broadcast(df.sparkSession.createDataFrame(behind, "_s int, _first bigint, _next int"))
+    heads = docs.join(behind, (F.col("_range") == F.col("_next")) & F.col("_id").eqNullSafe(F.col("_first")))
+    heads = heads.withColumn("_rank", F.row_number().over(Window.partitionBy("_s").orderBy("_text"))).where("_rank = 1")
+    heads = heads.select("_s", F.struct("_text", signatures(F.col("_text")).alias("_sig")).alias("_head"))
+    joined = ordered.join(heads, (F.col("_range") == F.col("_s")) & F.col("_after").isNull(), "left")
     joined = joined.select("_id", "_text", "_sig", F.length("_text").alias("_n"), F.coalesce("_after", "_head").alias("_after"))
     half = F.floor(F.col("_n") / 2).cast("int")
     edited = F.concat(F.col("_text").substr(F.lit(1), F.col("_n") - half), F.col("_after._text").substr(F.lit(1), half))

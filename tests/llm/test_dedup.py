@@ -146,14 +146,15 @@ def test_compare_with_edits(spark):
 
 
 def test_next_across_far_stretches(spark):
-    ids = [-(10**12), -5, 0, 255, 256, 70_000, 10**9, 10**15]
+    rng = random.Random(3)
+    ids = sorted([-(2**63), -(10**12), -5, 0, 255, 256, 70_000, 10**9, 10**15, 2**63 - 1, *(rng.getrandbits(63) for _ in range(300))])
     df = spark.createDataFrame([(i, f"word{k} " * 2) for k, i in enumerate(ids)], "doc_id bigint, text string")
     import hashlib
 
     got = {r.doc_id: r.edited_sha256 for r in spotsigs.compare_with_edits(df).collect()}
     for k, i in enumerate(ids):
         text, after = f"word{k} " * 2, f"word{(k + 1) % len(ids)} " * 2
-        assert got[i] == hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest()
+        assert len(got) == len(ids) and got[i] == hashlib.sha256((text[: len(text) - len(text) // 2] + after[: len(text) // 2]).encode()).hexdigest()
 
 
 def test_spotsigs_odd_tables(odd, none):
