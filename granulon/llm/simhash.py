@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granulon.llm.common import cut, fresh, map_rows, partitions, text_of
+from granulon.llm.common import cut, fresh, join_hot, map_rows, partitions, text_of
 from granulon.llm.components import connected
 
 POSITIONS = 8
 SEED = 42
 #: Entries of a posting list that one block holds; longer lists are compared block against block.
 BLOCK = 4096
-#: Places that the rows of one fingerprint go to.
-SALTS = 16
+#: Long posting lists whose sizes are sent to all tasks at most (a few megabytes); more are joined.
+MOST_LONG = 100_000
 #: Entries for each posting list that the choice of the index's width aims at.
 LIST_LENGTH = 256
 
@@ -185,9 +185,17 @@ def links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     spark = distinct.sparkSession
     keys = index_keys(index_width(distinct.count(), shared), shared)
     entries = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), _bytes_at(p).alias("at")) for i, p in enumerate(keys)])).alias("e")).select("fp", "e.k", "e.at")
-    # Long lists are cut into blocks by hash; each pair of blocks is a cell of its own.
-    sizes = F.count("*").over(Window.partitionBy("k", "at"))
-    blocks = entries.withColumn("c", sizes).where("c > 1").withColumn("n", F.expr(f"cast(ceil(c / {BLOCK}) as int)"))
+    # Long lists are cut into blocks by hash; each pair of blocks is a cell of its own. Lists are counted
+    # before they are dealt out, and the long ones are so few (entries * keys / BLOCK) that few of them meet in a task.
+    long = cut(entries.groupBy("k", "at").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("k", "at", F.expr(f"cast(ceil(c / {BLOCK}) as int)").alias("n")))
+    some = long.limit(MOST_LONG + 1).collect()
+    if len(some) > MOST_LONG:
+        entries = entries.join(long, ["k", "at"], "left")
+    elif some:
+        entries = entries.join(F.broadcast(long), ["k", "at"], "left")
+    else:
+        entries = entries.withColumn("n", F.lit(1))
+    blocks = entries.withColumn("n", F.coalesce("n", F.lit(1)))
     blocks = blocks.withColumn("own", F.expr("cast(pmod(xxhash64(fp), n) as int)"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     cells = cells.select("fp", "k", "at", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -252,10 +260,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = connected(links(classes.select("fp"), bits))
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = named.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
-    # A fingerprint may have a third of all rows; its rows go to SALTS places, and its label to each of them.
-    salted = labelled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return prints.withColumn("_salt", F.pmod(F.xxhash64(id_col, "text_hash"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "_salt"]).select(id_col, "text_hash", "fp", "root", "component_id")
+    # A group may have a third of all fingerprints, and a fingerprint a third of all rows: these are dealt to many places.
+    labelled = join_hot(named.select("fp", "root"), smallest, "root", "inner").select("fp", "root", "component_id")
+    return join_hot(prints, labelled, "fp", "inner").select(id_col, "text_hash", "fp", "root", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
