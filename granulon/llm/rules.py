@@ -160,8 +160,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of several labels of a document the largest holds; null labels and labels of other documents don't count.
     """
+    return _fit(_measured(df, id_col, text_col), labels, id_col, label_col)
+
+
+def _fit(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str = "quality") -> tuple[IsolationForest, float]:
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) >= 1).alias("good"))
-    labelled = cut(_measured(df, id_col, text_col).select(id_col, "base_failed", "stats").join(known, id_col).where("not base_failed").select(id_col, "good", "stats"))
+    labelled = cut(measured.select(id_col, "base_failed", "stats").join(known, id_col).where("not base_failed").select(id_col, "good", "stats"))
     sides = labelled.agg(*[f(F.col("stats")[i]) for f in (F.min, F.max) for i in range(len(STATISTICS))]).first()
     low, high = (np.array([x or 0.0 for x in part]) for part in (sides[: len(STATISTICS)], sides[len(STATISTICS) :]))
     for i in (STATISTICS.index("dup_line_share"), STATISTICS.index("repeat_share")):
@@ -177,15 +181,20 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null and empty texts have no words and fail the base rules; repeated rows are judged each; a null id
     is kept; without usable labels the base rules decide alone; an empty table gives an empty table;
-    other columns are left out.
+    other columns are left out. Every text is measured once, and the numbers are kept for fit and verdict.
     """
-    forest, threshold = fit(df, labels, id_col, text_col)
-    rows = _scored(_measured(df, id_col, text_col), forest)
+    measured = cut(_measured(df, id_col, text_col))
+    forest, threshold = _fit(measured, labels, id_col)
+    rows = _scored(measured, forest)
     return rows.select(id_col, *BASE, "base_failed", (~F.col("base_failed") & (F.col("score") < threshold)).alias("kept"), "score")
 
 
 def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that judge() keeps, with all their columns."""
+    """The rows of df that judge() keeps, with all their columns.
+
+    Texts are measured twice, for the fit and where they are filtered: to join the numbers of the first
+    time to the rows would shuffle all texts.
+    """
     forest, threshold = fit(df, labels, id_col, text_col)
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
