@@ -16,6 +16,7 @@ from __future__ import annotations
 import posixpath
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -33,6 +34,8 @@ HEADER = struct.Struct("<8sII")
 TRAILER = struct.Struct("<QQQQ8s")
 #: Ids in a block: a multiple of 8, so that any width gives whole bytes.
 BLOCK = 1 << 14
+#: Bytes of text that a file holds, about.
+FILE_BYTES = 1 << 28
 #: Blocks read together when a file is read through.
 AT_ONCE = 32
 
@@ -61,8 +64,8 @@ class Writer:
 
     def __init__(self, sink, bits: int, block: int = BLOCK):
         self.sink, self.bits, self.block = sink, bits, block
-        self.docs: list[int | None] = []
-        self.starts, self.offsets = [0], [HEADER.size]
+        self.docs, self.nameless = array("q"), 0  # eight bytes a document, not Python objects
+        self.starts, self.offsets = array("q", [0]), array("q", [HEADER.size])
         self._held: list[np.ndarray] = []
         self._n = 0
         sink.write(HEADER.pack(MAGIC, bits, block))
@@ -78,7 +81,8 @@ class Writer:
         self._n = len(ids) - end
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc)
+        self.docs.append(0 if doc is None else doc)
+        self.nameless += doc is None
         self.starts.append(self.starts[-1] + len(ids))
         self._held.append(ids)
         self._n += len(ids)
@@ -87,11 +91,10 @@ class Writer:
 
     def close(self) -> None:
         self._flush(True)
-        nameless = sum(d is None for d in self.docs)
         at = self.offsets[-1]
-        for numbers, kind in ((self.offsets, "<u8"), (self.starts, "<u8"), ([0 if d is None else d for d in self.docs], "<i8")):
+        for numbers, kind in ((self.offsets, "<u8"), (self.starts, "<u8"), (self.docs, "<i8")):
             self.sink.write(np.array(numbers, kind).tobytes())
-        self.sink.write(TRAILER.pack(len(self.offsets) - 1, len(self.docs), nameless, at, MAGIC))
+        self.sink.write(TRAILER.pack(len(self.offsets) - 1, len(self.docs), self.nameless, at, MAGIC))
 
 
 class Reader:
@@ -141,9 +144,11 @@ def write(df: DataFrame, path: str, folder: str, end_id: int, id_col: str = "doc
     """Encode and write every text, in ascending order of id; returns (file, name, documents, ids) of each file.
 
     A task writes its file under a name of its own and renames it when it is whole, so a task that is
-    lost or runs twice leaves one whole file. Null texts count as empty; null ids come first.
+    lost or runs twice leaves one whole file. Null texts count as empty; null ids come first. Without
+    `files` their number follows from the bytes of the texts (FILE_BYTES each, about), but for as many as there
+    are shuffle partitions at least.
     """
-    files = files or partitions(df.sparkSession)
+    files = files or max(partitions(df.sparkSession), -(-(df.agg(F.sum(F.octet_length(text_of(text_col)) + 1)).first()[0] or 0) // FILE_BYTES))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
     rows = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
 
