@@ -171,14 +171,16 @@ def scorer(model: OrdinalModel) -> Callable[[list[str]], np.ndarray]:
 def fit(df: DataFrame, labels: DataFrame, grade: Column, top: int, id_col: str = "doc_id", text_col: str = "text", most: int = FIT) -> OrdinalModel:
     """The model of the labelled rows of df; grade: a whole number from 0 to top, an expression of the columns of labels.
 
-    Rows whose grade is null don't count; of several labels of a document the smallest grade holds.
+    Rows whose grade is null don't count; of several labels of a document the smallest grade holds,
+    and of several rows with an id the one with the smallest text.
     """
     graded = labels.select(F.col(id_col).alias("_id"), grade.cast("int").alias("_grade")).where(F.col("_id").isNotNull() & F.col("_grade").between(0, top))
     graded = graded.groupBy("_id").agg(F.min("_grade").alias("_grade"))
     # Only ids that df has, then no more than `most`, in an order without meaning: bounded, so broadcast.
-    present = graded.join(df.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
+    present = graded.join(df.select(F.col(id_col).alias("_id")), "_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_grade", "_text")
+    rows = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    rows = rows.groupBy("_id").agg(F.first("_grade").alias("_grade"), F.min("_text").alias("_text"))  # an id may have many rows
     found = map_rows(rows, lambda: lambda c: [c["_id"], c["_grade"], [features(t) for t in c["_text"]]], f"_id {df.schema[id_col].dataType.simpleString()}, _grade int, f array<int>").toArrow()
     # In an order of their own, so that the sums don't depend on Spark's.
     lists = found.column("f").combine_chunks()
