@@ -2,6 +2,10 @@
 
 Each stage takes the session, the documents its predecessor kept and the folder of the tables, and
 returns a DataFrame; all but the last return the columns of documents.
+
+Null and empty texts have no words, so the rules reject them; repeated rows are judged alike, and
+near-dedup keeps one of them; a null id stays and counts as no id; an empty table gives an empty table
+after each stage; further columns stay as they are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulon.llm import ordinal, packing, pii, rules, simhash
-from granulon.llm.common import shared_folder
+from granulon.llm.common import drop_folder, shared_folder
 from granulon.llm.queries import GRADE, TOP_GRADE, WORD_VOCABULARY
 
 
@@ -60,13 +64,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage kept is written to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over documents; what a stage kept is written below `folder` and read again.
+
+    Without a folder: a new one in the shared folder. A stage's files go when the next stage's are whole; those of
+    the last but one stay, since the result is read from them, until the caller drops the folder.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if i:
+                drop_folder(spark, f"{folder}/{STAGES[i - 1][0]}")
     return docs

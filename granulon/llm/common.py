@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from granulon.session import cut, shared_folder
 
-__all__ = ["cut", "Recent", "filter_rows", "fresh", "join_hot", "map_rows", "partitions", "shared_folder", "slices", "text_of"]
+__all__ = ["cut", "Recent", "drop_folder", "filter_rows", "fresh", "join_hot", "map_rows", "partitions", "shared_folder", "slices", "text_of"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -22,6 +22,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours, in whatever store it is; nothing if it isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_hot(rows: DataFrame, each: DataFrame, key: str, how: str = "left", shares: int = 1000) -> DataFrame:
     """rows joined with `each`, which has a key once; a key may hold any share of the rows.
 

@@ -226,13 +226,15 @@ def _batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
-def round_trip(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What the files hold of each document after writing them in a new folder beneath the shared one.
+def round_trip(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """What the files hold of each document after writing them in `folder`, or a new folder beneath the shared one.
+
+    The files stay, since the result is read from them; a caller who wants to drop them gives the folder.
 
     Repeated rows are written each; an empty table gives an empty table; other columns are left out.
     """
     import uuid
 
     spark = df.sparkSession
-    folder = posixpath.join(shared_folder(spark), f"tokens-{uuid.uuid4().hex}")
+    folder = folder or posixpath.join(shared_folder(spark), f"tokens-{uuid.uuid4().hex}")
     return read(spark, folder, write(df, path, folder, end_id, id_col, text_col), id_col)

@@ -485,7 +485,7 @@ def test_pages_odd_tables(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -495,8 +495,9 @@ def test_pipeline(spark, sf_dir):
         assert 0 < len(rows) <= before
         docs, before = spark.createDataFrame(rows, docs.schema), len(rows)
     expected = {r.doc_id for r in docs.collect()}
-    packed = corpus_pipeline.run(spark, sf_dir).collect()
+    packed = corpus_pipeline.run(spark, sf_dir, str(tmp_path / "run")).collect()
     assert {r.doc_id for r in packed} == expected
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["pii"]  # the others are gone
 
 
 def test_pipeline_odd_tables(spark, odd, sf_dir):
@@ -505,6 +506,16 @@ def test_pipeline_odd_tables(spark, odd, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         for df in (odd, odd.limit(0)):
             out = stage(spark, df, sf_dir)
-            if name != "best_fit_packing":
-                assert out.columns == odd.columns
-            assert out.count() >= 0
+            rows = out.collect()
+            if name == "best_fit_packing":
+                assert len(rows) >= df.count()
+                continue
+            assert out.columns == odd.columns and len(rows) <= df.count()
+            if df is not odd:
+                assert not rows
+            elif name == "quality_rules":
+                assert not any(r.text is None or len(r.text.split()) < 50 for r in rows)
+            elif name == "near_dedup":
+                assert sorted(r.doc_id for r in rows if r.doc_id in (3, 4)) == [3]
+            elif name == "pii":
+                assert len(rows) == df.count() and not any("4111111111111111" in (r.text or "") for r in rows)
