@@ -59,9 +59,15 @@ def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def key_collisions(df: DataFrame, key: Column, name: Column) -> DataFrame:
-    """(key, n, names) where several names have the same key; up to five names."""
-    found = df.select(key.alias("key"), name.alias("n")).groupBy("key").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("n")), 1, 5).alias("names"))
-    return found.where("n > 1")
+    """(key, n, names) where several names have the same key; up to five names, the first ones.
+
+    Names are counted first and ranked within their key, so no more than five of a key are ever gathered.
+    """
+    each = df.select(key.alias("key"), name.alias("n")).groupBy("key", "n").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("n").asc_nulls_last()))
+    first = each.withColumn("r", rank).where("r <= 5").groupBy("key").agg(F.array_sort(F.collect_list("n")).alias("names"))
+    counts = each.groupBy("key").agg(F.sum("c").alias("n")).where("n > 1")
+    return counts.withColumnRenamed("key", "k").join(first, F.col("k").eqNullSafe(F.col("key"))).select("key", "n", "names")
 
 
 def renamed(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:

@@ -125,9 +125,9 @@ def cross_tile_candidates(parts: DataFrame, image: str, particle: str, iou: floa
     centred = parts.withColumn("px", c("x") + c("w") / 2).withColumn("py", c("y") + c("h") / 2)
     reach = F.greatest(F.lit(distance), F.greatest("w", "h"))
     cells = centred.withColumn("size", F.greatest(F.lit(0), F.ceil(F.log2(reach / distance))).cast("int"))
-    # A box is dealt to the cells of its own size and of all larger ones that occur; pairs meet at the larger size.
-    largest = cells.agg(F.max("size").alias("_top"))  # one row
-    cells = cells.join(F.broadcast(largest)).withColumn("level", F.explode(F.sequence(c("size"), c("_top"))))
+    # A box is dealt to the cells of its own size and of all larger ones that occur in its image; pairs meet at the larger size.
+    largest = cells.groupBy(image).agg(F.max("size").alias("_top"))
+    cells = cells.join(largest, image).withColumn("level", F.explode(F.sequence(c("size"), c("_top"))))
     side = F.lit(distance) * F.pow(F.lit(2.0), c("level"))
     home = cells.withColumn("cx", F.floor(c("px") / side)).withColumn("cy", F.floor(c("py") / side))
     around = home.where(c("size") == c("level")).withColumn("cx", F.explode(F.array(c("cx") - 1, c("cx"), c("cx") + 1))).withColumn("cy", F.explode(F.array(c("cy") - 1, c("cy"), c("cy") + 1)))

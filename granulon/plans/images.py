@@ -414,44 +414,55 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.by_image(grid, "image", lambda pdf: raster.components(raster.to_array(pdf, "v")))
 
 
-def _disc_masks(pdf: pd.DataFrame, shift: float = 0.0) -> np.ndarray:
-    """Two discs of 64 x 64, their flow, and the instances found again from it; shift makes the flow a constant."""
-    y, x = np.mgrid[:64, :64]
-    n = int(pdf["n"].iloc[0])
-    labels = np.where((y - 20) ** 2 + (x - 20) ** 2 < 49 + n, 1, np.where((y - 44) ** 2 + (x - 44) ** 2 < 49, 2, 0)).astype(np.int32)
-    dy, dx = raster.flow_of_masks(labels)
-    if shift:
-        dy, dx = np.full_like(dy, shift / 5), np.full_like(dx, shift / 5)
-        return raster.drop_bad_flow(labels, 5 * dy, 5 * dx)
-    return raster.postprocess(5 * dy, 5 * dx, np.where(labels > 0, 5.0, -5.0), least=20)
+#: Squares in cells of 12 x 12: one for each cell of an image that has items; side 6 to 10, and odd or even.
+_SQUARES = (
+    "SELECT l_orderkey // 64 AS image, (l_suppkey % 5) * 12 AS min_y, (l_partkey % 5) * 12 AS min_x, 6 + CAST(min(l_quantity) AS BIGINT) % 5 AS s, CAST(sum(l_linenumber) AS BIGINT) % 2 AS odd "
+    "FROM lineitem GROUP BY 1, 2, 3"
+)
 
 
-def _disc_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(c("n_nationkey").cast("bigint").alias("image"), (c("n_nationkey") % 20).alias("n"))
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, x, v, iy, ix, s, odd): the pixels of the squares; v is the cell's number, iy and ix count from the square's corner."""
+    items = table(spark, sf_dir, "lineitem").select(F.floor(c("l_orderkey") / 64).alias("image"), (c("l_suppkey") % 5 * 12).alias("y0"), (c("l_partkey") % 5 * 12).alias("x0"), "l_quantity", "l_linenumber")
+    cells = items.groupBy("image", "y0", "x0").agg((F.min("l_quantity").cast("bigint") % 5 + 6).alias("s"), (F.sum("l_linenumber") % 2).alias("odd"))
+    side = F.sequence(F.lit(0), c("s").cast("int") - 1)
+    pixels = cells.withColumn("iy", F.explode(side)).withColumn("ix", F.explode(side))
+    return pixels.select("image", (c("y0") + c("iy")).alias("y"), (c("x0") + c("ix")).alias("x"), (c("y0") / 12 * 5 + c("x0") / 12 + 1).cast("int").alias("v"), "iy", "ix", "s", "odd")
 
 
-@query()
+def _measured_squares(found: DataFrame) -> DataFrame:
+    return found.groupBy("image", "label").agg(F.min("y").cast("bigint").alias("min_y"), F.min("x").cast("bigint").alias("min_x"), F.count("*").alias("area")).drop("label")
+
+
+@query(f"SELECT image, min_y, min_x, s * s AS area FROM ({_SQUARES})")
 def euler_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances of discs, by following their flow: two of each image, in their place."""
-    found = raster.by_image(_disc_images(spark, sf_dir), "image", _disc_masks)
-    return found.groupBy("image", "label").agg(F.count("*").alias("area"), F.min("y").alias("min_y"), F.min("x").alias("min_x"))
+    """Instances found again by following the flow of each image's squares."""
 
+    def again(pdf: pd.DataFrame) -> np.ndarray:
+        labels = raster.to_array(pdf, "v").astype(np.int32)
+        dy, dx = raster.flow_of_masks(labels)
+        return raster.postprocess(5 * dy, 5 * dx, np.where(labels > 0, 5.0, -5.0), least=20)
 
-@query()
+    return _measured_squares(raster.by_image(_squares(spark, sf_dir), "image", again))
+
+
+@query(f"SELECT image, min_y, min_x, s * s AS area FROM ({_SQUARES}) WHERE odd = 0")
 def flow_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A constant flow removes all instances of each image."""
-    images = _disc_images(spark, sf_dir)
-    left = raster.by_image(images, "image", lambda pdf: _disc_masks(pdf, 5.0)).groupBy("image").agg(F.countDistinct("label").alias("n"))
-    return images.select("image").join(left, "image", "left").select("image", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_left"))
+    """The odd squares have a constant flow, which isn't theirs, and go; the others have their own and stay."""
 
+    def checked(pdf: pd.DataFrame) -> np.ndarray:
+        labels = raster.to_array(pdf, "v").astype(np.int32)
+        odd = raster.to_array(pdf, "odd") > 0
+        dy, dx = raster.flow_of_masks(labels)
+        return raster.drop_bad_flow(labels, np.where(odd, 5.0, 5 * dy), np.where(odd, 5.0, 5 * dx))
 
-@query()
-def hole_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rings become discs."""
+    return _measured_squares(raster.by_image(_squares(spark, sf_dir), "image", checked))
 
-    def ring(pdf: pd.DataFrame) -> np.ndarray:
-        y, x = np.mgrid[:40, :40]
-        d = (y - 20) ** 2 + (x - 20) ** 2
-        return raster.fill_holes(((d < 100) & (d >= int(pdf["n"].iloc[0]))).astype(np.int32))
 
-    return raster.by_image(_disc_images(spark, sf_dir), "image", ring).groupBy("image").agg(F.count("*").alias("area"))
+@query(f"SELECT image, min_y, min_x, CASE WHEN odd = 0 THEN s * s ELSE s * s - (s - 4) * (s - 4) - 2 END AS area FROM ({_SQUARES})")
+def hole_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares with a hole, which the odd ones have a way into: only the others are filled."""
+    wall = (F.least("iy", "ix") < 2) | (F.greatest("iy", "ix") >= c("s") - 2)
+    way = (c("odd") == 1) & (c("ix") == 2) & (c("iy") < 2)
+    rings = _squares(spark, sf_dir).where(wall & ~way)
+    return _measured_squares(raster.by_image(rings, "image", lambda pdf: raster.fill_holes(raster.to_array(pdf, "v").astype(np.int32))))

@@ -48,7 +48,7 @@ def nnp(spark: SparkSession, root: str) -> DataFrame:
 def tio2(spark: SparkSession, root: str, layouts=(("images", "masks"), ("img", "mask"), ("image", "label"))) -> DataFrame:
     """The first of several folder layouts that has images."""
     every = readers.listing(spark, root, recursive=True).where(readers.is_image(F.col("path"), True)).withColumn("_part", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
-    present = {r[0] for r in every.select("_part").distinct().limit(100).collect()}
+    present = {r[0] for r in every.select("_part").where(F.col("_part").isin([l[0] for l in layouts])).distinct().collect()}
     images, masks = next((l for l in layouts if l[0] in present), layouts[0])
     return paired(every.where(F.col("_part") == images), every.where(F.col("_part") == masks), _stem(), _stem("_mask"))
 

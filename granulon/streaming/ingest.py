@@ -22,12 +22,9 @@ def append_stream(rows: DataFrame, table: str, checkpoint: str, key: Sequence[st
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            existing = spark.read.parquet(table)
-        except Exception as missing:  # the table's folder begins with the first batch
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            existing = spark.createDataFrame([], batch.schema)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        begun = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)  # the folder begins with the first batch
+        existing = spark.read.schema(batch.schema).parquet(table) if begun else spark.createDataFrame([], batch.schema)
         append_new(existing, batch, key, list(batch.columns)).write.mode("append").parquet(table)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
