@@ -1,4 +1,4 @@
-"""All queries of the reference's own operators by name, with their DuckDB equivalents where SQL has one."""
+"""All queries besides the corpus operators' by name, with their DuckDB equivalents where SQL has one."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granulon.plans import images, labels, manifests
+from granulon.plans import files, images, labels, manifests
 
 FLAGSHIP = "stratified_split"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in (manifests.QUERIES | images.QUERIES | labels.QUERIES).items()}
+    return {name: run for name, (run, _) in (manifests.QUERIES | images.QUERIES | labels.QUERIES | files.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (manifests.QUERIES | images.QUERIES | labels.QUERIES).items() if sql}
+    return {name: sql for name, (_, sql) in (manifests.QUERIES | images.QUERIES | labels.QUERIES | files.QUERIES).items() if sql}

@@ -149,9 +149,9 @@ def raw_planes(spark: SparkSession, directory: str, height: int, width: int, pat
     return _from_files(files, one, "image_id string, plane array<float>", stem(F.col("path")))
 
 
-def coco(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of annotation files, each with its source file; segmentation stays JSON text."""
-    doc = spark.read.schema(COCO).option("multiLine", True).json(paths).withColumn("source_file", F.input_file_name())
+def coco(spark: SparkSession, paths: str | Sequence[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) of annotation files, each with its source file; segmentation stays JSON text. lines: a document in each line."""
+    doc = spark.read.schema(COCO).option("multiLine", not lines).json(paths).withColumn("source_file", F.input_file_name())
     part = lambda name: doc.select("source_file", F.explode(name).alias("r")).select("source_file", "r.*")
     return part("images"), part("annotations")
 

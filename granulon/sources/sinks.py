@@ -5,13 +5,16 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterator, Sequence
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granulon.operators.dedup import append_new
+from granulon.operators.manifest import FIELDS as MANIFEST_FIELDS
 from granulon.operators.manifest import normalise
 from granulon.sources import png
 
@@ -83,6 +86,30 @@ def flow_files(flows: DataFrame) -> DataFrame:
     return flows.select("image_id", "h", "w", "cellprob", "dy", "dx").mapInArrow(run, "image_id string, content binary")
 
 
+def files(contents: DataFrame, folder: str, suffix: str, key: str = "image_id") -> int:
+    """A file of each row's content, named by its key; returns how many. A file is whole under its name or not there.
+
+    The folder is one that all executors share, as a path or an address.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, base = fs.FileSystem.from_uri(folder) if urlsplit(folder).scheme else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
+        own = f"{base}/.part-{TaskContext.get().taskAttemptId()}"
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for name, content in zip(names, batch.column(1)):
+                with store.open_output_stream(own) as sink:
+                    sink.write(content.as_py())
+                store.move(own, f"{base}/{name}{suffix}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(names)], pa.int64())})
+
+    written = contents.select(F.col(key).cast("string"), "content").mapInArrow(run, "n bigint")
+    return written.agg(F.sum("n")).first()[0] or 0
+
+
 def report_json(parts: dict[str, DataFrame], rows: int = 50) -> str:
     """A report of small tables, with no more than `rows` rows of each listed and the number of all."""
     out = {}
