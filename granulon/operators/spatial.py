@@ -59,11 +59,25 @@ def tile_grid(images: DataFrame, height: str, width: str, tile: int = TILE, over
     return rows.withColumn("x1", F.least(F.col("x0") + tile, F.col(width).cast("int"))).withColumn("y1", F.least(F.col("y0") + tile, F.col(height).cast("int")))
 
 
+def _meeting(a: DataFrame, b: DataFrame, image: str, of_a: Sequence[Column], of_b: Sequence[Column], cell: int = TILE) -> DataFrame:
+    """Rows of a and b of an image whose rectangles (left, top, right, bottom; half open) meet, or might at a common edge.
+
+    Both are dealt to the grid cells that they touch; a pair counts in the cell of its common corner only.
+    Tiles touch four cells at most, so no image's boxes are joined with all of its tiles.
+    """
+    place = lambda v: F.floor(v.cast("double") / cell)
+    touched = lambda lo, hi: F.explode(F.sequence(place(lo), F.greatest(place(lo), F.ceil(hi.cast("double") / cell) - 1)))
+    deal = lambda df, r: df.withColumn("_cx", touched(r[0], r[2])).withColumn("_cy", touched(r[1], r[3]))
+    corner = (place(F.greatest(of_a[0], of_b[0])) == F.col("_cx")) & (place(F.greatest(of_a[1], of_b[1])) == F.col("_cy"))
+    return deal(a, of_a).join(deal(b, of_b), [image, "_cx", "_cy"]).where(corner).drop("_cx", "_cy")
+
+
 def clip_runs(runs: DataFrame, tiles: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, tile_x, tile_y, label, y, x0, x1) of runs cut to the tiles that they meet, in tile coordinates."""
     t = tiles.select(image, F.col("x0").alias("tile_x"), F.col("y0").alias("tile_y"), F.col("x1").alias("tx1"), F.col("y1").alias("ty1"))
     c = F.col
-    met = runs.join(t, image).where((c("y") >= c("tile_y")) & (c("y") < c("ty1")) & (c("x0") < c("tx1")) & (c("x1") > c("tile_x")))
+    pairs = _meeting(runs, t, image, (c("x0"), c("y"), c("x1"), c("y") + 1), (c("tile_x"), c("tile_y"), c("tx1"), c("ty1")))
+    met = pairs.where((c("y") >= c("tile_y")) & (c("y") < c("ty1")) & (c("x0") < c("tx1")) & (c("x1") > c("tile_x")))
     return met.select(image, "tile_x", "tile_y", "label", (c("y") - c("tile_y")).alias("y"), (F.greatest("x0", "tile_x") - c("tile_x")).alias("x0"), (F.least("x1", "tx1") - c("tile_x")).alias("x1"))
 
 
@@ -71,7 +85,8 @@ def boxes_in_tiles(boxes: DataFrame, tiles: DataFrame, image: str) -> DataFrame:
     """Each box with each tile that it overlaps: lx0, ly0, lx1, ly1 is the part inside, in tile coordinates, ends included."""
     t = tiles.select(image, F.col("x0").alias("tile_x"), F.col("y0").alias("tile_y"), F.col("x1").alias("tx1"), F.col("y1").alias("ty1"))
     c = F.col
-    met = boxes.join(t, image).where((c("x") < c("tx1")) & (c("x") + c("w") > c("tile_x")) & (c("y") < c("ty1")) & (c("y") + c("h") > c("tile_y")))
+    pairs = _meeting(boxes, t, image, (c("x"), c("y"), c("x") + c("w"), c("y") + c("h")), (c("tile_x"), c("tile_y"), c("tx1"), c("ty1")))
+    met = pairs.where((c("x") < c("tx1")) & (c("x") + c("w") > c("tile_x")) & (c("y") < c("ty1")) & (c("y") + c("h") > c("tile_y")))
     return met.withColumns(
         {
             "lx0": F.greatest("x", "tile_x") - c("tile_x"), "ly0": F.greatest("y", "tile_y") - c("tile_y"),
@@ -164,7 +179,8 @@ def regions_in_tiles(regions: DataFrame, tiles: DataFrame, image: str) -> DataFr
     g = regions.select(image, *[F.col(k).alias("r" + k) for k in ("x0", "y0", "x1", "y1")])
     c = F.col
     left, top, right, bottom = F.greatest("rx0", "x0"), F.greatest("ry0", "y0"), F.least("rx1", "x1"), F.least("ry1", "y1")
-    met = tiles.join(g, image).where((right > left) & (bottom > top))
+    pairs = _meeting(tiles, g, image, [c(k) for k in ("x0", "y0", "x1", "y1")], [c("r" + k) for k in ("x0", "y0", "x1", "y1")])
+    met = pairs.where((right > left) & (bottom > top))
     return met.select(image, c("x0").alias("tile_x"), c("y0").alias("tile_y"), (left - c("x0")).alias("x0"), (top - c("y0")).alias("y0"), (right - c("x0")).alias("x1"), (bottom - c("y0")).alias("y1"))
 
 

@@ -6,12 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granulon.functions.scalars import aspect_ratio, equivalent_diameter, touches_edge
+from granulon.session import cut
 
 
 def percentile(value: Column | str, q: float) -> Column:
-    """Exact percentile (0 to 100) with linear interpolation; 0 of nothing."""
+    """Exact percentile (0 to 100) with linear interpolation; 0 of nothing.
+
+    A group's different values are held by one task: for groups of bounded size, as images are; see percentiles().
+    """
     return F.coalesce(F.percentile(value, F.lit(q / 100)), F.lit(0.0))
 
 
@@ -53,8 +58,43 @@ def image_label_stats(instances: DataFrame, sizes: DataFrame, image: str = "imag
     )
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """(keys..., n, p10, ...): exact percentiles as of percentile() for groups of any size; one row without keys.
+
+    Values are counted, and ranges of them sorted in parallel. The ranges' sums tell which of them hold the
+    wanted ranks, and only these are looked through. Null values don't count; a group without others has 0.
+    """
+    c, names = F.col, list(keys)
+    counts = df.groupBy(*names, c(value).cast("double").alias("_v")).agg(F.count(value).alias("_n"))
+    # Cut off first: ranges drawn anew would give other sums.
+    ranged = cut(counts.repartitionByRange(*names, "_v").sortWithinPartitions(*names, "_v").withColumn("_p", F.spark_partition_id()))
+    group = Window.partitionBy(*names)  # of the sums: a row for each range that has values of the group
+    sums = ranged.groupBy(*names, "_p").agg(F.sum("_n").alias("_s"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_s").over(group))
+    place = {q: F.lit(q / 100) * (c("_total") - 1) for q in qs}
+
+    def holds(rank: Column, first: Column, n: Column) -> Column:
+        return (rank >= first) & (rank < first + n)
+
+    wanted = c("_total") == 0
+    for at in place.values():
+        wanted = wanted | holds(F.floor(at), c("_before"), c("_s")) | holds(F.ceil(at), c("_before"), c("_s"))
+    chosen = sums.where(wanted).select("_before", "_total", *[c(k).alias(f"_k{i}") for i, k in enumerate([*names, "_p"])])
+    same = F.lit(True)
+    for i, k in enumerate([*names, "_p"]):
+        same = same & c(k).eqNullSafe(c(f"_k{i}"))
+    running = F.sum("_n").over(Window.partitionBy(*names, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = ranged.join(chosen, same).withColumn("_first", c("_before") + running - c("_n"))
+    out = []
+    for q, at in place.items():
+        low, high = (F.max(F.when(holds(rank, c("_first"), c("_n")), c("_v"))) for rank in (F.floor(at), F.ceil(at)))
+        share = F.max(at - F.floor(at))
+        out.append(F.coalesce(F.when(low == high, low).otherwise((1 - share) * low + share * high), F.lit(0.0)).alias(f"p{q:g}"))
+    return rows.groupBy(*names).agg(F.coalesce(F.max("_total"), F.lit(0)).alias("n"), *out)
+
+
 def size_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float] = (10, 50, 90)) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), *[percentile(value, q).alias(f"p{q:g}") for q in qs])
+    return percentiles(df, keys, value, qs)
 
 
 def small_shares(diameters: DataFrame, diameter: str = "diameter", limits: Sequence[float] = (4.0, 8.0)) -> DataFrame:
@@ -95,6 +135,7 @@ def distinct_sizes(df: DataFrame, height: str, width: str) -> DataFrame:
 def dataset_summary(instances: DataFrame, image: str, area: str, diameter: str, aspect: str, image_area: float) -> DataFrame:
     """One row: images, instances, mean count and coverage, medians, and the share of long instances."""
     images = instances.groupBy(image).agg(F.count("*").alias("_n"), (F.sum(area) / image_area).alias("_c"))
-    whole = instances.agg(F.count("*").alias("n_particles"), percentile(area, 50).alias("area_median"), percentile(diameter, 50).alias("diameter_median"), (F.count_if(F.col(aspect) > 3.0) / F.greatest(F.count("*"), F.lit(1))).alias("long_share"))
+    whole = instances.agg(F.count("*").alias("n_particles"), (F.count_if(F.col(aspect) > 3.0) / F.greatest(F.count("*"), F.lit(1))).alias("long_share"))
     means = images.agg(F.count("*").alias("n_images"), F.avg("_n").alias("particles_per_image"), F.avg("_c").alias("coverage"))
-    return means.crossJoin(whole)  # one row each
+    medians = [percentiles(instances, [], v, [50]).select(F.col("p50").alias(name)) for v, name in ((area, "area_median"), (diameter, "diameter_median"))]
+    return means.crossJoin(whole).crossJoin(medians[0]).crossJoin(medians[1])  # one row each

@@ -84,6 +84,30 @@ def test_percentiles(spark):
     assert df.limit(0).agg(stats.percentile("v", 50), stats.upper_median("v")).first()[0] == 0.0
 
 
+def test_percentiles_by_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, 2.0, rng.uniform(-9, 9)])) for _ in range(500)] + [("only null", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = (0, 10, 33.3, 50, 90, 100)
+    for keys in (["k"], []):
+        expected = df.groupBy(*keys).agg(F.count("v").alias("n"), *[stats.percentile("v", q).alias(f"p{q:g}") for q in qs])
+        flat = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in d.collect())
+        assert flat(stats.percentiles(df, keys, "v", qs)) == flat(expected)
+    assert [tuple(r) for r in stats.percentiles(df.limit(0), [], "v", [50]).collect()] == [(0, 0.0)]
+    assert stats.percentiles(df.limit(0), ["k"], "v", [50]).count() == 0
+
+
+def test_boxes_in_tiles_equal_all_against_all(spark):
+    rng = random.Random(4)
+    images = spark.createDataFrame([(1, 2500, 3100), (2, 700, 900), (3, 1024, 1024)], "image int, h int, w int")
+    tiles = spatial.tile_grid(images, "h", "w").select("image", "x0", "y0", "x1", "y1")
+    boxes = [(rng.randint(1, 3), i, rng.randint(-50, 3000), rng.randint(-50, 2400), rng.choice([0, 1, 40, 1024, 2600]), rng.choice([0, 1, 40, 1024, 2600])) for i in range(150)]
+    df = spark.createDataFrame(boxes + [(1, 999, None, 3, 4, 5)], "image int, id int, x int, y int, w int, h int")
+    expected = {(i, t.x0, t.y0) for g, i, x, y, w, h in boxes for t in tiles.collect() if t.image == g and x < t.x1 and x + w > t.x0 and y < t.y1 and y + h > t.y0}
+    got = [(r.id, r.tile_x, r.tile_y) for r in spatial.boxes_in_tiles(df, tiles, "image").collect()]
+    assert set(got) == expected and len(got) == len(expected)
+
+
 def test_box_overlap_and_adhesion(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 12.0, 0.0, 10.0, 10.0), (1, 3, 40.0, 0.0, 10.0, 10.0), (2, 1, 0.0, 0.0, 5.0, 5.0)], "image int, id int, x double, y double, w double, h double")
     pairs = spatial.overlapping_pairs(spatial.expanded(df, F.lit(100), F.lit(100)), "image", "id", cell=16.0)
