@@ -26,6 +26,8 @@ from granulon.llm.components import connected
 CHAIN = 3
 #: Ranges of ids that a shuffle partition gets, about; and ranges at most. A window orders a range.
 RANGES, MOST_RANGES = 16, 100_000
+#: Sets that a signature's list in a partition of the join holds whole; longer lists are cut into blocks of about this size.
+BLOCK = 4096
 
 # Anchors, frequent words of English, French, German and Spanish.
 ANCHORS = (
@@ -133,7 +135,8 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def similar_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, likeness) with a < b of all pairs of different sets (id, sig) with a likeness of at least `least`.
 
-    ids must be unique; empty sets have no pairs.
+    ids must be unique; empty sets have no pairs. A signature that very many sets have in their prefix is
+    dealt out: its list is cut into blocks by hash, and each pair of blocks is joined in a place of its own.
     """
     if not 0 < least <= 1:
         raise ValueError("least: above 0 and at most 1")
@@ -144,10 +147,18 @@ def similar_sets(sets: DataFrame, least: float = 0.8) -> DataFrame:
     often = words.groupBy("w").agg(F.count("*").alias("df"))
     rarest = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
     # Sets that are alike enough share one of the first n - ceil(least * n) + 1 of their signatures, rarest first.
-    prefix = words.join(often, "w").where("df > 1").withColumn("r", rarest).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("id", "n", "part", "w")
+    prefix = cut(words.join(often, "w").where("df > 1").withColumn("r", rarest).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("id", "n", "part", "w"))
     probe = prefix.select(F.col("id").alias("x"), F.col("n").alias("xn"), "w", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    hot = probe.groupBy("w", "part").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("w", "part", F.ceil(F.col("c") / BLOCK).cast("int").alias("k"))
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        """rows in their own block, once for each block of the other side."""
+        k = F.coalesce("k", F.lit(1))
+        return rows.join(hot, ["w", "part"], "left").withColumn(own, F.pmod(F.xxhash64(key), k).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
+
     larger = (F.col("n") > F.col("xn")) | ((F.col("n") == F.col("xn")) & (F.col("id") > F.col("x")))
-    pairs = probe.join(prefix, ["w", "part"]).where(larger & (F.col("xn") >= F.col("n") * F.lit(least) - 1e-9)).select("x", F.col("id").alias("y")).distinct()
+    met = dealt(probe, "x", "i", "j").join(dealt(prefix, "id", "j", "i"), ["w", "part", "i", "j"])
+    pairs = met.where(larger & (F.col("xn") >= F.col("n") * F.lit(least) - 1e-9)).select("x", F.col("id").alias("y")).distinct()
     full = pairs.join(sets.select(F.col("id").alias("x"), F.col("sig").alias("xs")), "x").join(sets.select(F.col("id").alias("y"), F.col("sig").alias("ys")), "y")
     full = full.select("x", "y", likeness(F.col("xs"), F.col("ys"), least).alias("likeness")).where(F.col("likeness") >= least)
     return full.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")

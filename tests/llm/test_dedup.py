@@ -166,7 +166,9 @@ def test_spotsigs_odd_tables(odd, none):
     assert {r.class_id for r in found if r.doc_id in (3, 4)} == {3}
 
 
-def test_similar_sets_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [spotsigs.BLOCK, 3])
+def test_similar_sets_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
     rng = random.Random(7)
     sets = {}
     for i in range(120):
