@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulon.llm import bpe, html, licenses, ordinal, packing, pii, rules, simhash, spotsigs, tokenfile
+from granulon.llm import bpe, collocations, html, licenses, ordinal, packing, pii, rules, sharding, simhash, spotsigs, tokenfile, whitening
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -73,6 +73,18 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.rate(docs, ordinal.fit(docs, _read(spark, sf_dir, "labels"), F.expr(GRADE), TOP_GRADE))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), most=16)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"), least=30, share=80, most=2000)
+
+
+def op13_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_read(spark, sf_dir, "documents"), [1.0] * 24, [1.0] * 25)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,10 +103,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_isolation_rules": op8_isolation_rules,
         "op9_block_rules": op9_block_rules,
         "op10_ordinal_quality": op10_ordinal_quality,
+        "op11_whitening": op11_whitening,
+        "op12_collocations": op12_collocations,
+        "op13_rendezvous": op13_rendezvous,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """The others are beyond SQL: libraries' tokens, XXH64 (op2, op3), forests, regressions, Feistel networks, parsing of HTML, packing."""
-    return {"op7_license_scan": licenses.oracle_sql(PATH)}
+    """The others are beyond SQL: libraries' tokens, XXH64 (op2, op3), forests, regressions, Feistel networks, parsing of HTML, packing,
+    eigenvectors, CRC32 (op13)."""
+    return {"op7_license_scan": licenses.oracle_sql(PATH), "op12_collocations": collocations.oracle_sql()}
