@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granulon.plans.registry import Query, adder
 from granulon.session import shared_folder, table
-from granulon.sources import readers, sinks
+from granulon.sources import blocks, readers, sinks
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 query = adder(QUERIES)
@@ -85,6 +85,58 @@ def coco_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(c("id").alias("image_id"), "file_name").join(sums, "image_id", "left").select("image_id", "file_name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("area", F.lit(0)).alias("area"))
 
 
+#: Members before the lists, with brackets and quotes that mean nothing.
+_DOCUMENT = r'''"info": {"images": [{}], "a\"}b": "]}"}, '''
+
+
+@query(
+    """SELECT o_orderkey AS image_id, concat('o "', o_orderkey, '" }') AS file_name, count(l_orderkey) AS n, CAST(COALESCE(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS area,
+      CAST(COALESCE(sum(l_partkey), 0) AS BIGINT) AS parts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"""
+)
+def coco_document_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders and line items as one annotation document in one file, read by as many tasks as it has blocks."""
+    key = c("o_orderkey")
+    name = F.concat(F.lit('o "'), key.cast("string"), F.lit('" }'))
+    images = table(spark, sf_dir, "orders").select(F.struct(key.alias("id"), name.alias("file_name"), F.lit(64).alias("height"), F.lit(64).alias("width")).alias("e"))
+    rle = F.struct(F.array(F.lit(8), F.lit(8)).alias("size"), F.array(c("l_partkey"), F.lit(3)).alias("counts"))
+    notes = table(spark, sf_dir, "lineitem").select(F.struct((c("l_orderkey") * 8 + c("l_linenumber")).alias("id"), c("l_orderkey").alias("image_id"), F.lit(1).alias("category_id"), rle.alias("segmentation"), c("l_quantity").alias("area"), F.lit(0).alias("iscrowd")).alias("e"))
+    path = f"{_folder(spark)}/instances.json"
+    sinks.one_document({"images": images, "annotations": notes}, path, _DOCUMENT)
+    found, noted = readers.coco(spark, path)
+    counts = F.get_json_object("segmentation", "$.counts[0]").cast("bigint")
+    sums = noted.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(c("area").cast("bigint")).alias("area"), F.sum(counts).alias("parts"))
+    return found.select(c("id").alias("image_id"), "file_name").join(sums, "image_id", "left").select("image_id", "file_name", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("n", "area", "parts")])
+
+
+_BAD = """
+    b AS (SELECT *, CASE c_custkey % 3 WHEN 0 THEN 2 ELSE 1 END AS height, CASE c_custkey % 7 WHEN 0 THEN 'too many cells' WHEN 1 THEN 'too few cells' END AS reason FROM customer),
+    l AS (SELECT *, CAST(2 + sum(height) OVER (ORDER BY c_custkey) - height AS BIGINT) AS line, row_number() OVER (ORDER BY c_custkey) + 1 AS record_no FROM b)"""
+
+
+@query(f"WITH {_BAD} SELECT concat('c', c_custkey) AS record_id, line, record_no, reason, CASE WHEN reason = 'too many cells' THEN 'more' END AS surplus, CASE WHEN reason = 'too few cells' THEN NULL WHEN height = 2 THEN concat('two', chr(10), 'lines \"', c_name) ELSE c_name END AS notes FROM l")
+def manifest_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file with quoted line ends and rows with too many or too few cells, each with the line where it begins."""
+    key, path = c("c_custkey"), f"{_folder(spark)}/manifest.csv"
+    name = F.when(key % 3 == 0, F.concat(F.lit('"two\nlines ""'), "c_name", F.lit('"'))).otherwise(c("c_name"))
+    # A row with too few cells has line ends all the same, in its first cell's place.
+    first = F.concat(F.lit("c"), key.cast("string"))
+    lines = F.when(key % 7 == 0, F.concat(first, F.lit(","), name, F.lit(",more"))).when((key % 7 == 1) & (key % 3 == 0), F.concat(F.lit('"'), first, F.lit('\n"'))).when(key % 7 == 1, first).otherwise(F.concat(first, F.lit(","), name))
+    sinks.one_file(table(spark, sf_dir, "customer").select(key.alias("at"), lines.alias("line")), path, ["record_id,notes"])
+    got = blocks.numbered_csv(spark, path, ["record_id", "notes"])
+    return got.select(F.rtrim(F.regexp_replace("record_id", "\n", "")).alias("record_id"), c("_line").alias("line"), c("_row").alias("record_no"), c("_reason").alias("reason"), F.array_join("_surplus", ",").alias("surplus"), "notes")
+
+
+@query("SELECT concat('s', s_suppkey) AS record_id, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('s', s_suppkey) END AS good, CASE WHEN s_suppkey % 5 = 0 THEN 'not an object' END AS reason, CAST(2 * row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS line FROM supplier")
+def manifest_bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, every second one blank, some of them broken, each with its number."""
+    key, path = c("s_suppkey"), f"{_folder(spark)}/manifest.jsonl"
+    name = F.concat(F.lit("s"), key.cast("string"))
+    lines = F.when(key % 5 == 0, F.concat(F.lit("["), name)).otherwise(F.to_json(F.struct(name.alias("record_id"))))
+    sinks.one_file(table(spark, sf_dir, "supplier").select(key.alias("at"), F.concat(lines, F.lit("\n")).alias("line")), path)
+    got = readers.numbered_jsonl(spark, path, ["record_id"])
+    return got.select(F.coalesce("record_id", F.substring("_corrupt", 2, 99)).alias("record_id"), c("record_id").alias("good"), c("_reason").alias("reason"), c("_line").alias("line"))
+
+
 _SIDES = "4 + s_suppkey % 9 AS a, 1 + s_nationkey % 5 AS b"
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from granulon.functions.scalars import IMAGE_EXTENSIONS, stem
 from granulon.operators import flows as flows_table
 from granulon.operators import raster
-from granulon.sources import png
+from granulon.sources import blocks, png
 
 FLOW_HEADER = "image_id string, ok boolean, dtype string, shape array<int>, finite boolean"
 COCO = (
@@ -26,19 +26,30 @@ COCO = (
 
 
 def manifest_csv(spark: SparkSession, path: str, fields: Sequence[str] | None = None) -> DataFrame:
-    """All columns as text, a byte order mark stripped, quotes doubled; surplus cells go to _corrupt."""
-    read = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE")
-    if fields is None:
-        return read.option("inferSchema", False).csv(path)
-    return read.option("columnNameOfCorruptRecord", "_corrupt").option("enforceSchema", False).schema(", ".join(f"`{f}` string" for f in [*fields, "_corrupt"])).csv(path)
+    """All columns as text, a byte order mark stripped, quotes doubled; a large file is read by many tasks.
+
+    With `fields`, the text of a record with surplus cells is in _corrupt; blocks.numbered_csv has line numbers and reasons.
+    """
+    read = blocks.numbered_csv(spark, path, fields)
+    names = [f"`{f}`" for f in read.columns if f not in ("_file", "_line", "_row", "_reason", "_surplus")]
+    return read.select(*names) if fields is None else read.select(*names, F.to_json("_surplus").alias("_corrupt"))
+
+
+def numbered_jsonl(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """A column of text for each field, and _file, _line, _reason, _corrupt of each line that isn't blank.
+
+    Lines that aren't JSON objects have their text in _corrupt and a reason. Real booleans become true and false.
+    """
+    lines = blocks.numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("_m", F.from_json("value", "map<string,string>"))
+    bad = F.col("_m").isNull()
+    cells = [F.try_element_at("_m", F.lit(f)).alias(f) for f in fields]
+    return parsed.select(*cells, F.col("file").alias("_file"), F.col("line").alias("_line"), F.when(bad, "not an object").alias("_reason"), F.when(bad, F.col("value")).alias("_corrupt"))
 
 
 def manifest_jsonl(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    """Rows of JSON objects, blank lines skipped; what doesn't parse has its text in _corrupt. Real booleans become true and false."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    row = F.from_json("value", "map<string,string>")
-    parsed = lines.withColumn("_m", row)
-    return parsed.select(*[F.try_element_at("_m", F.lit(f)).alias(f) for f in fields], F.when(F.col("_m").isNull(), F.col("value")).alias("_corrupt"))
+    """Rows of JSON objects, blank lines skipped; what doesn't parse has its text in _corrupt."""
+    return numbered_jsonl(spark, path, fields).select(*fields, "_corrupt")
 
 
 def manifest(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
@@ -150,9 +161,17 @@ def raw_planes(spark: SparkSession, directory: str, height: int, width: int, pat
 
 
 def coco(spark: SparkSession, paths: str | Sequence[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(images, annotations) of annotation files, each with its source file; segmentation stays JSON text. lines: a document in each line."""
-    doc = spark.read.schema(COCO).option("multiLine", not lines).json(paths).withColumn("source_file", F.input_file_name())
-    part = lambda name: doc.select("source_file", F.explode(name).alias("r")).select("source_file", "r.*")
+    """(images, annotations) of annotation files, each with its source file; segmentation stays JSON text.
+
+    A file's one document is read by as many tasks as the file has blocks, whatever its size. lines: a document in each line.
+    """
+    if lines:
+        doc = spark.read.schema(COCO).json(paths).withColumn("source_file", F.input_file_name())
+        part = lambda name: doc.select("source_file", F.explode(name).alias("r")).select("source_file", "r.*")
+    else:
+        element = {f.name: f.dataType.elementType for f in T._parse_datatype_string(COCO)}
+        found = blocks.json_elements(spark, paths)
+        part = lambda name: found.where(F.col("section") == name).select(F.col("file").alias("source_file"), F.from_json("text", element[name]).alias("r")).select("source_file", "r.*")
     return part("images"), part("annotations")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -51,6 +51,58 @@ def coco_documents(images: DataFrame, annotations: DataFrame, split: str = "spli
     return both.select(split, F.to_json(F.struct("images", "annotations", F.array(F.struct(F.lit(1).alias("id"), F.lit("particle").alias("name"))).alias("categories"))).alias("document"))
 
 
+def one_file(lines: DataFrame, path: str, head: Sequence[str] = (), order: str = "at", line: str = "line") -> None:
+    """One text file in the folder `path`: the head, then the lines in order. One task streams it; the sort spills, nothing is gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if head:
+            yield pa.RecordBatch.from_pydict({"value": list(head)})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
+
+    lines.repartition(1).sortWithinPartitions(order).select(F.col(line).alias("value")).mapInArrow(run, "value string").write.text(path)
+
+
+def one_document(members: Mapping[str, DataFrame], path: str, head: str = "") -> None:
+    """One JSON document in one file in the folder `path`: `head`, then a list for each member of its table's structs `e`.
+
+    One task streams the elements; no list is gathered, and empty lists are written too.
+    """
+    names = list(members)
+    rows = lines = None
+    for k, name in enumerate(names):
+        lines = members[name].select(F.lit(k).alias("k"), F.to_json("e").alias("line"))
+        rows = lines if rows is None else rows.unionByName(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = 0, True
+        yield pa.RecordBatch.from_pydict({"value": ["{" + head + json.dumps(names[0]) + ": ["]})
+        for batch in batches:
+            out = []
+            for k, text in zip(*(c.to_pylist() for c in batch.columns)):
+                while now < k:
+                    now, first = now + 1, True
+                    out.append("], " + json.dumps(names[now]) + ": [")
+                out.append(text if first else "," + text)
+                first = False
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+        rest = ["], " + json.dumps(n) + ": [" for n in names[now + 1 :]]
+        yield pa.RecordBatch.from_pydict({"value": [*rest, "]}"]})
+
+    rows.repartition(1).sortWithinPartitions("k").mapInArrow(run, "value string").write.text(path)
+
+
+def coco_splits(images: DataFrame, annotations: DataFrame, folder: str, split: str = "split") -> list[str]:
+    """A document of each split in `folder`, named instances_<split>.json; annotations carry their image's split. Returns the splits."""
+    found = sorted(r[0] for r in images.select(split).where(F.col(split).isNotNull()).distinct().collect())  # a name for each file
+    names = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns if c != split]).alias("e")
+    kinds = images.sparkSession.range(1).select(F.struct(F.lit(1).alias("id"), F.lit("particle").alias("name")).alias("e"))
+    for one in found:
+        own = {"images": images.where(F.col(split) == one).select(names(images)), "annotations": annotations.where(F.col(split) == one).select(names(annotations)), "categories": kinds}
+        one_document(own, f"{folder}/instances_{one}.json")
+    return found
+
+
 def label_images(runs: DataFrame, image: str = "image_id") -> DataFrame:
     """(image_id, content): 16-bit PNG files of run-length rows (h, w, label, y, x0, x1); ids are held to 1 ... 65535."""
     rows = F.collect_list(F.struct("label", "y", "x0", "x1"))
