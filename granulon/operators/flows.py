@@ -11,8 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granulon.operators import raster
+from granulon.operators import runs as runs_table
 
 RUNS = "image_id string, h int, w int, label int, y int, x0 int, x1 int"
 FLOWS = "image_id string, h int, w int, cellprob array<float>, dy array<float>, dx array<float>"
@@ -170,21 +172,19 @@ def at_original(runs: DataFrame, placed: DataFrame, sizes: DataFrame, stride: in
 
 
 def polygon_runs(annotations: DataFrame, order: str) -> DataFrame:
-    """Runs of each annotation's polygons: (image_id, order, label, y, x0, x1), label 1; annotations has image_id, h, w, polygons."""
+    """Runs of each annotation's polygons: (image_id, order, label, y, x0, x1), label 1; annotations has image_id, h, w, polygons.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                mask = np.zeros((row.h, row.w), bool)
-                for flat in row.polygons:
-                    mask |= raster.polygon_mask(np.asarray(flat, float).reshape(-1, 2), row.h, row.w)
-                out = runs_of(mask.astype(np.int32))
-                out.insert(0, "image_id", row.image_id)
-                out.insert(1, "o", row.o)
-                yield out
-
-    rows = annotations.select("image_id", F.col(order).cast("bigint").alias("o"), "h", "w", "polygons")
-    return rows.mapInPandas(run, "image_id string, o bigint, label int, y int, x0 int, x1 int").withColumnRenamed("o", order)
+    Annotations have an order of their own within an image.
+    """
+    found = runs_table.of_polygons(annotations, ["image_id", order], "polygons", F.col("h"), F.col("w"))
+    return found.select("image_id", order, F.lit(1).alias("label"), *[F.col(k).cast("int").alias(k) for k in ("y", "x0", "x1")])
+
+
+def label_map(annotations: DataFrame, order: str) -> DataFrame:
+    """(image_id, y, x0, x1, label) of annotations with image_id, h, w, polygons: later ones cover earlier ones, numbered from 1 by what is seen."""
+    seen = runs_table.overlay(polygon_runs(annotations, order), "image_id", order, order)
+    numbers = seen.select("image_id", order).distinct().withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy(order)))
+    return seen.join(numbers, ["image_id", order]).select("image_id", "y", "x0", "x1", "label")
 
 
 def predicted(inputs: DataFrame, predict: Callable[[np.ndarray], Mapping[str, np.ndarray]] | None, side: int, batch: int = 4) -> DataFrame:

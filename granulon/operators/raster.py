@@ -231,21 +231,6 @@ def postprocess(
     return relabel(filter_logit(labels, logit, logit_threshold))
 
 
-def polygon_mask(points: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Pixels whose centre lies in a polygon (x, y), by the rule of odd crossings of each row."""
-    out = np.zeros((height, width), bool)
-    x, y = points[:, 0], points[:, 1]
-    nx, ny = np.roll(x, -1), np.roll(y, -1)
-    columns = np.arange(width)
-    for row in range(max(0, int(np.floor(y.min()))), min(height, int(np.ceil(y.max())) + 1)):
-        crosses = (y <= row) != (ny <= row)
-        if crosses.any():
-            at = np.sort(x[crosses] + (row - y[crosses]) * (nx - x)[crosses] / (ny - y)[crosses])
-            out[row] = np.searchsorted(at, columns, side="right") % 2 == 1
-            out[row] |= np.isin(columns, at)
-    return out
-
-
 #: Steps around a pixel, clockwise from the left, as (y, x).
 _AROUND = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
 
@@ -310,17 +295,6 @@ def form_metrics(mask: np.ndarray) -> dict[str, float]:
     return {"area": area, "perimeter": length, "circularity": 4 * np.pi * area / max(length**2, 1e-8), "solidity": own / max(hull, 1e-8), "convexity": hull / max(own, 1.0)}
 
 
-def overlay(masks: list[np.ndarray], height: int, width: int) -> np.ndarray:
-    """Masks as one label map: later ones cover earlier ones; empty ones take no number."""
-    out = np.zeros((height, width), np.int32)
-    k = 0
-    for mask in masks:
-        if mask.any():
-            k += 1
-            out[mask] = k
-    return out
-
-
 def resize(image: np.ndarray, height: int, width: int, nearest: bool = False) -> np.ndarray:
     """The image at another size: the nearest pixel, or between the four around; pixel centres keep their share."""
     y, x = (np.arange(height) + 0.5) * image.shape[0] / height - 0.5, (np.arange(width) + 0.5) * image.shape[1] / width - 0.5
@@ -381,18 +355,6 @@ def to_8_bit(image: np.ndarray) -> np.ndarray:
     return (image.astype(float) * (255.0 / max(int(image.max(initial=0)), 1))).astype(np.uint8)
 
 
-def merge_tiles(iou: np.ndarray, confidence: np.ndarray) -> np.ndarray:
-    """Which detections stay: in order of falling confidence, then id, each drops those after it that are the same (iou true)."""
-    order = np.lexsort((np.arange(len(confidence)), -confidence))
-    keep = np.ones(len(confidence), bool)
-    for i in order:
-        if keep[i]:
-            same = iou[i].copy()
-            same[i] = False
-            keep &= ~same
-    return keep
-
-
 def to_array(pdf: pd.DataFrame, column: str, kind: type = np.int32) -> np.ndarray:
     """One column of an image's pixel rows (y, x from 0) as a raster; pixels without a row are 0."""
     out = np.zeros((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), kind)
@@ -409,30 +371,3 @@ def by_image(pixels: DataFrame, image: str, kernel: Callable[[pd.DataFrame], np.
         return pd.DataFrame({image: pdf[image].iloc[0], "y": ys.astype(np.int32), "x": xs.astype(np.int32), "label": labels[ys, xs].astype(np.int32)})
 
     return pixels.groupBy(image).applyInPandas(run, f"{image} {image_type}, y int, x int, label int")
-
-
-def dedup_tiles(parts: DataFrame, candidates: DataFrame, image: str, particle: str, confidence: str, image_type: str = "bigint") -> DataFrame:
-    """(image, particle) of the detections that stay; candidates: (image, a, b) that may be the same.
-
-    Only detections with candidates are grouped, by image; the greedy choice is sequential within one.
-    """
-    from pyspark.sql import functions as F
-
-    score = parts.select(image, particle, F.col(confidence).alias("_c"))
-    linked = candidates.join(score.withColumnsRenamed({particle: "a", "_c": "ca"}), [image, "a"]).join(score.withColumnsRenamed({particle: "b", "_c": "cb"}), [image, "b"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores = {**dict(zip(pdf.a, pdf.ca)), **dict(zip(pdf.b, pdf.cb))}
-        near: dict = {i: [] for i in scores}
-        for a, b in zip(pdf.a, pdf.b):
-            near[a].append(b)
-            near[b].append(a)
-        dropped: set = set()
-        for i in sorted(scores, key=lambda k: (-scores[k], k)):
-            if i not in dropped:
-                dropped.update(near[i])
-        return pd.DataFrame({image: pdf[image].iloc[0], particle: sorted(dropped)})
-
-    kind = parts.schema[particle].dataType.simpleString()
-    dropped = linked.groupBy(image).applyInPandas(run, f"{image} {image_type}, {particle} {kind}")
-    return parts.select(image, particle).join(dropped, [image, particle], "left_anti")

@@ -160,20 +160,6 @@ def cross_tile_candidates(parts: DataFrame, image: str, particle: str, iou: floa
     return met.where((c("iou") > iou) | like).select(image, F.least(ka, kb).alias("a"), F.greatest(ka, kb).alias("b"), "iou", "distance")
 
 
-def erase_regions(runs: DataFrame, regions: DataFrame, image: str = "image_id") -> DataFrame:
-    """runs without what lies in regions (image, x0, y0, x1, y1 half open); what is left of a run is up to n + 1 runs."""
-    r = regions.select(image, F.struct("x0", "x1", "y0", "y1").alias("r"))
-    by_image = r.groupBy(image).agg(F.collect_list("r").alias("_r"))
-    c = F.col
-    joined = runs.join(by_image, image, "left")
-    here = F.filter(F.coalesce(c("_r"), F.array().cast(by_image.schema["_r"].dataType)), lambda q: (q["y0"] <= c("y")) & (q["y1"] > c("y")))
-    piece = lambda a, b: F.struct(a.cast("bigint").alias("x0"), b.cast("bigint").alias("x1"))
-    cut = lambda pieces, q: F.filter(F.flatten(F.transform(pieces, lambda p: F.array(piece(p["x0"], F.least(p["x1"], q["x0"])), piece(F.greatest(p["x0"], q["x1"]), p["x1"])))), lambda p: p["x1"] > p["x0"])
-    left = F.aggregate(here, F.array(piece(c("x0"), c("x1"))), cut)
-    names = [n for n in runs.columns if n not in ("x0", "x1")]
-    return joined.select(*names, F.explode(left).alias("_p")).select(*names, "_p.x0", "_p.x1")
-
-
 def regions_in_tiles(regions: DataFrame, tiles: DataFrame, image: str) -> DataFrame:
     """(image, tile_x, tile_y, x0, y0, x1, y1): the parts of regions within tiles, in tile coordinates."""
     g = regions.select(image, *[F.col(k).alias("r" + k) for k in ("x0", "y0", "x1", "y1")])

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulon.functions import scalars
-from granulon.operators import matching, raster, sampling, spatial, stats, tuning
+from granulon.operators import graph, matching, raster, sampling, spatial, stats, tuning
+from granulon.operators import runs as runs_table
 from granulon.plans.registry import Query, adder
 from granulon.session import table
 
@@ -340,11 +341,17 @@ def cross_tile_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image", "a", "b", r6(c("iou"), "iou"), r6(c("distance"), "distance"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE c AS ({_CANDIDATES}), {_DETECTIONS}, o AS (SELECT image, id, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, id) AS k FROM det),
+      n AS (SELECT image, id, list(other) AS near FROM (SELECT image, a AS id, b AS other FROM c UNION ALL SELECT image, b, a FROM c) GROUP BY ALL),
+      s AS (SELECT o.*, COALESCE(near, []) AS near FROM o LEFT JOIN n USING (image, id)),
+      g(image, k, kept) AS (SELECT DISTINCT image, 0::BIGINT, []::VARCHAR[] FROM o UNION ALL SELECT g.image, s.k, CASE WHEN list_has_any(s.near, g.kept) THEN g.kept ELSE list_append(g.kept, s.id) END FROM g JOIN s ON s.image = g.image AND s.k = g.k + 1)
+    SELECT image, unnest(kept) AS id FROM (SELECT image, kept FROM g QUALIFY row_number() OVER (PARTITION BY image ORDER BY k DESC) = 1)"""
+)
 def tile_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The detections that stay; sequential within an image, so there is no SQL for it."""
+    """The detections that stay if each, the surest first, drops those after it that may be the same."""
     parts = _detections(spark, sf_dir)
-    return raster.dedup_tiles(parts, spatial.cross_tile_candidates(parts, "image", "id"), "image", "id", "confidence")
+    return graph.kept_in_order(parts, spatial.cross_tile_candidates(parts, "image", "id"), "image", "id", c("confidence"))
 
 
 _REGIONS = [(100, 0, 200, 4), (150, 2, 420, 6)]
@@ -359,7 +366,7 @@ def ignore_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _runs(spark, sf_dir)
     box = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), r)]) for r in _REGIONS]))
     regions = runs.select("image_id").distinct().select("image_id", box.alias("r")).select("image_id", "r.*")
-    left = spatial.erase_regions(runs, regions)
+    left = runs_table.erased(runs, regions)
     n = c("x1") - c("x0")
     return left.groupBy("image_id", "label", "y").agg(F.sum(n).alias("n"), F.sum((c("x0") + c("x1") - 1) * n / 2).cast("bigint").alias("sum_x"))
 
@@ -402,16 +409,33 @@ def rle_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.rle_runs(rows, "image", list(_BOX_ORDER), "n", 30)
 
 
-@query(
-    """WITH RECURSIVE g AS (SELECT DISTINCT l_orderkey // 256 AS image, l_partkey % 20 AS x, l_suppkey % 20 AS y FROM lineitem WHERE l_discount < 0.03),
+_LINKED = """RECURSIVE g AS (SELECT DISTINCT l_orderkey // 256 AS image, l_partkey % 20 AS x, l_suppkey % 20 AS y FROM lineitem WHERE l_discount < 0.03),
       reach(image, x, y, root) AS (SELECT image, x, y, y * 20 + x FROM g UNION SELECT g.image, g.x, g.y, r.root FROM reach r JOIN g ON g.image = r.image AND abs(g.x - r.x) <= 1 AND abs(g.y - r.y) <= 1),
-      f AS (SELECT image, x, y, min(root) AS root FROM reach GROUP BY 1, 2, 3)
-    SELECT image, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(dense_rank() OVER (PARTITION BY image ORDER BY root) AS INTEGER) AS label FROM f"""
-)
+      f AS (SELECT image, x, y, min(root) AS root FROM reach GROUP BY 1, 2, 3)"""
+
+
+def _thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of thresholded images of 20 x 20."""
+    items = table(spark, sf_dir, "lineitem").where("l_discount < 0.03")
+    return runs_table.of_pixels(items.select(F.floor(c("l_orderkey") / 256).alias("image"), (c("l_partkey") % 20).alias("x"), (c("l_suppkey") % 20).alias("y")))
+
+
+@query(f"WITH {_LINKED} SELECT image, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(dense_rank() OVER (PARTITION BY image ORDER BY root) AS INTEGER) AS label FROM f")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of thresholded images of 20 x 20, in a kernel for each image."""
-    grid = table(spark, sf_dir, "lineitem").where("l_discount < 0.03").select(F.floor(c("l_orderkey") / 256).alias("image"), (c("l_partkey") % 20).alias("x"), (c("l_suppkey") % 20).alias("y")).distinct().withColumn("v", F.lit(1))
-    return raster.by_image(grid, "image", lambda pdf: raster.components(raster.to_array(pdf, "v")))
+    """Components of thresholded images, as a graph of runs."""
+    found = runs_table.pixels(runs_table.components(_thresholded(spark, sf_dir)))
+    return found.select("image", *[c(k).cast("int").alias(k) for k in ("y", "x", "label")])
+
+
+@query(f"WITH {_LINKED}, n AS (SELECT image, root, count(*) AS area, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y FROM f GROUP BY 1, 2) SELECT image, area, min_x, max_x, min_y FROM n WHERE area >= 3")
+def components_of_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images cut to tiles of 7 x 7, whose runs are put together again: components reach across borders."""
+    runs = _thresholded(spark, sf_dir).withColumn("label", F.lit(1))
+    size = F.explode(F.array(F.lit(0), F.lit(7), F.lit(14)))
+    tiles = runs.select("image").distinct().withColumn("x0", size).withColumn("y0", size).withColumn("x1", c("x0") + 7).withColumn("y1", c("y0") + 7)
+    parts = spatial.to_image(spatial.clip_runs(runs, tiles, "image"), ["x0", "x1"], ["y"])
+    found = runs_table.components(parts, min_area=3)
+    return found.groupBy("image", "label").agg(F.sum(c("x1") - c("x0")).alias("area"), F.min("x0").alias("min_x"), (F.max("x1") - 1).alias("max_x"), F.min("y").alias("min_y")).drop("label")
 
 
 #: Squares in cells of 12 x 12: one for each cell of an image that has items; side 6 to 10, and odd or even.
@@ -465,4 +489,5 @@ def hole_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     wall = (F.least("iy", "ix") < 2) | (F.greatest("iy", "ix") >= c("s") - 2)
     way = (c("odd") == 1) & (c("ix") == 2) & (c("iy") < 2)
     rings = _squares(spark, sf_dir).where(wall & ~way)
-    return _measured_squares(raster.by_image(rings, "image", lambda pdf: raster.fill_holes(raster.to_array(pdf, "v").astype(np.int32))))
+    found = runs_table.fill_holes(runs_table.of_pixels(rings, ["image", "v"]), "image", "v")
+    return found.groupBy("image", "v").agg(F.min("y").alias("min_y"), F.min("x0").alias("min_x"), F.sum(c("x1") - c("x0")).alias("area")).drop("v")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granulon.operators import annotations, raster, stats
+from granulon.operators import annotations, flows, raster, runs, stats
 from granulon.plans.registry import Query, adder
 from granulon.session import table
 
@@ -101,6 +101,33 @@ def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotations.label_rules(rows, "image", "label", most_fraction=0.3)
 
 
+@query(
+    f"""WITH {_ANN} SELECT id, CAST((SELECT sum(greatest(0, least(128, x + h + 1) - (x + d))) FROM range(0, CAST(h AS BIGINT)) t(d) WHERE y + d < 128) AS BIGINT) AS area, CAST(y AS BIGINT) AS first_y FROM ann WHERE triangle"""
+)
+def polygon_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of triangles with two sides along the axes, by scan lines, clipped to 128 x 128."""
+    rows = _annotations(spark, sf_dir).withColumn("polygons", F.from_json("segmentation", "array<array<double>>"))
+    found = runs.of_polygons(rows, ["id"], "polygons", F.lit(128), F.lit(128))
+    return found.groupBy("id").agg(F.sum(c("x1") - c("x0")).alias("area"), F.min("y").alias("first_y"))
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey // 16 AS image, l_partkey % 40 AS x, l_suppkey % 40 AS y, 4 + l_linenumber AS s, (l_orderkey % 16) * 100 + l_linenumber AS o FROM lineitem),
+    p AS (SELECT image, o, x + i AS px, y + j AS py FROM a, range(0, 12) u(i), range(0, 12) v(j) WHERE i <= s AND j < s),
+    t AS (SELECT image, px, py, max(o) AS o FROM p GROUP BY 1, 2, 3)
+    SELECT image AS image_id, CAST(dense_rank() OVER (PARTITION BY image ORDER BY o) AS INTEGER) AS label, n, sum_x, sum_y FROM (SELECT image, o, count(*) AS n, CAST(sum(px) AS BIGINT) AS sum_x, CAST(sum(py) AS BIGINT) AS sum_y FROM t GROUP BY 1, 2)"""
+)
+def polygon_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label maps of squares that cover one another, as runs; a square without a visible pixel has no number."""
+    x, y, side = c("l_partkey") % 40, c("l_suppkey") % 40, 4 + c("l_linenumber")
+    items = table(spark, sf_dir, "lineitem").select(F.floor(c("l_orderkey") / 16).alias("image_id"), ((c("l_orderkey") % 16) * 100 + c("l_linenumber")).alias("o"), F.array(x, y, x + side, y, x + side, y + side, x, y + side).alias("p"))
+    rows = items.groupBy("image_id", "o").agg(F.collect_set("p").alias("polygons")).withColumn("h", F.lit(64)).withColumn("w", F.lit(64))
+    found = flows.label_map(rows, "o")
+    n = c("x1") - c("x0")
+    sums = found.groupBy("image_id", "label").agg(F.sum(n).alias("n"), F.sum(((c("x0") + c("x1") - 1) * n / 2).cast("bigint")).alias("sum_x"), F.sum(c("y") * n).alias("sum_y"))
+    return sums.withColumn("label", c("label").cast("int"))
+
+
 @query()
 def form_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median circularity and solidity of the components of thresholded images; contours are beyond SQL."""

@@ -45,8 +45,6 @@ def test_merge(spark):
 def test_later_annotations_cover_earlier(spark):
     df = spark.createDataFrame([("i", 1, 0), ("i", 1, 1), ("i", 2, 0), ("i", 2, 1), ("i", 7, 1), ("i", 7, 2)], "image string, o int, x int")
     assert {(r.x, r.label) for r in ann.overlay(df, "image", "o", ["x"]).collect()} == {(0, 1), (1, 2), (2, 2)}
-    masks = [np.array([[1, 1, 0]], bool), np.zeros((1, 3), bool), np.array([[0, 1, 1]], bool)]
-    assert raster.overlay(masks, 1, 3).tolist() == [[1, 2, 2]]
 
 
 def test_label_rules(spark):

@@ -75,10 +75,3 @@ def test_inputs_and_original_size(spark):
     squares = spark.createDataFrame([("a", 16, 16, *map(int, r)) for r in flows.runs_of(labels).itertuples(index=False)], flows.RUNS)
     back = maps(flows.at_original(squares, got, spark.createDataFrame([("a", 20, 40)], "image_id string, h int, w int")))["a"]
     assert ((back > 0) != (grey > 0)).mean() < 0.1
-
-
-def test_polygons(spark):
-    df = spark.createDataFrame([("a", 1, 8, 8, [[1.0, 1.0, 5.0, 1.0, 5.0, 4.0, 1.0, 4.0]])], "image_id string, o int, h int, w int, polygons array<array<double>>")
-    got = flows.polygon_runs(df, "o").collect()
-    mask = raster.polygon_mask(np.array([[1.0, 1.0], [5.0, 1.0], [5.0, 4.0], [1.0, 4.0]]), 8, 8)
-    assert sum(r.x1 - r.x0 for r in got) == mask.sum() and {r.o for r in got} == {1}

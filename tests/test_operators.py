@@ -220,19 +220,6 @@ def test_cross_tile_candidates_equal_all_against_all(spark):
         assert set(got) == expected and len(got) == len(expected)
 
 
-def test_dedup_tiles_keeps_the_surest(spark):
-    parts = spark.createDataFrame([(1, k, s) for k, s in zip("abcd", (0.5, 0.9, 0.7, 0.1))], "image bigint, id string, score double")
-    near = spark.createDataFrame([(1, "a", "b"), (1, "a", "c")], "image bigint, a string, b string")
-    assert sorted(r.id for r in raster.dedup_tiles(parts, near, "image", "id", "score").collect()) == ["b", "c", "d"]
-
-
-def test_erase_regions(spark):
-    runs = spark.createDataFrame([("i", 1, 0, 0, 100), ("i", 2, 5, 0, 100), ("j", 1, 0, 0, 9)], "image_id string, label int, y int, x0 bigint, x1 bigint")
-    regions = spark.createDataFrame([("i", 10, 0, 20, 3), ("i", 15, 0, 50, 1), ("i", 90, 0, 200, 9)], "image_id string, x0 int, y0 int, x1 int, y1 int")
-    got = {(r.image_id, r.label, r.x0, r.x1) for r in spatial.erase_regions(runs, regions).collect()}
-    assert got == {("i", 1, 0, 10), ("i", 1, 50, 90), ("i", 2, 0, 90), ("j", 1, 0, 9)}
-
-
 def test_core_zone(spark):
     at = lambda cx, cy, left, right: spark.range(1).select(spatial.in_core(F.lit(cx), F.lit(cy), F.lit(1024), F.lit(1024), F.lit(left), F.lit(False), F.lit(right), F.lit(False))).first()[0]
     assert at(10, 500, True, False) and not at(10, 500, False, False) and at(1000, 500, False, True) and not at(1000, 500, True, False)

@@ -88,18 +88,7 @@ def test_relabel_by_first_pixel():
     assert raster.relabel(np.array([[0, 7, 7], [3, 0, 9]])).tolist() == [[0, 1, 1], [2, 0, 3]]
 
 
-def test_polygon():
-    mask = raster.polygon_mask(np.array([[1.0, 1.0], [5.0, 1.0], [5.0, 4.0], [1.0, 4.0]]), 8, 8)
-    assert mask[2, 3] and not mask[6, 3] and not mask[2, 6]
-
-
 def test_sinks_need_more_than_ten():
     y, x = np.full(10, 3), np.full(10, 3)
     assert not raster.cluster_sinks(y, x, (8, 8)).any()
     assert raster.cluster_sinks(np.full(11, 3), np.full(11, 3), (8, 8))[3, 3] == 1
-
-
-def test_merge_tiles():
-    same = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], bool)
-    assert raster.merge_tiles(same, np.array([0.5, 0.9, 0.6])).tolist() == [False, True, False]
-    assert raster.merge_tiles(same, np.array([0.9, 0.5, 0.6])).tolist() == [True, False, True]
