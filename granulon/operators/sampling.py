@@ -29,15 +29,30 @@ def val_quota(n: Column, ratio: float, policy: str = "spare") -> Column:
     return F.least(n, F.greatest(wanted, least))
 
 
+def ranked(units: DataFrame, stratum: str, order: Column, tie: str, digits: int = 4) -> DataFrame:
+    """units with _h, the order (hexadecimal, evenly spread), _n, how many its stratum has, and _r, its place there by order and tie.
+
+    Units are counted by stratum and first digits of the order; a unit's place is what those before have and its own place among
+    those with the same digits. So the largest group that is ordered is a stratum's share of one in 16 ** digits, however large
+    the stratum, and the counts are that many rows for each stratum at most.
+    """
+    own = units.withColumn("_h", order).withColumn("_d", F.substring("_h", 1, digits))
+    at = Window.partitionBy(stratum)
+    before = F.sum("_c").over(at.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1))
+    counts = own.groupBy(stratum, "_d").agg(F.count("*").alias("_c")).select(F.col(stratum).alias("_s"), F.col("_d").alias("_e"), F.sum("_c").over(at).alias("_n"), F.coalesce(before, F.lit(0)).alias("_b"))
+    placed = own.withColumn("_k", F.row_number().over(Window.partitionBy(stratum, "_d").orderBy("_h", tie)))
+    joined = placed.join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_d") == F.col("_e")))
+    return joined.select(*units.columns, "_h", "_n", (F.col("_b") + F.col("_k")).alias("_r"))
+
+
 def stratified_split(units: DataFrame, ratio: float, seed: int = 42, min_val_rows: int = 0, policy: str = "spare") -> DataFrame:
     """units with split train or val: the quota of each stratum, in hash order.
 
     If these have less than min_val_rows rows, more units follow until they do: first of strata with more
-    than 3 units, in hash order.
+    than 3 units, in hash order. No window holds a stratum.
     """
-    own = Window.partitionBy("stratum")
-    ranked = units.withColumn("_h", hash_order(seed, F.col("unit"))).withColumn("_n", F.count("*").over(own)).withColumn("_r", F.row_number().over(own.orderBy("_h", "unit")))
-    chosen = ranked.withColumn("_val", F.col("_r") <= val_quota(F.col("_n"), ratio, policy))
+    placed = ranked(units, "stratum", hash_order(seed, F.col("unit")), "unit")
+    chosen = placed.withColumn("_val", F.col("_r") <= val_quota(F.col("_n"), ratio, policy))
     if min_val_rows:
         have = chosen.agg(F.coalesce(F.sum(F.when(F.col("_val"), F.col("n_rows"))), F.lit(0)).alias("_have"))
         # No more than min_val_rows units can follow, so only the first so many are ranked together.
@@ -51,11 +66,9 @@ def stratified_split(units: DataFrame, ratio: float, seed: int = 42, min_val_row
 
 def group_split(units: DataFrame, train_share: float = 0.8, seed: int = 42) -> DataFrame:
     """units with split: of each stratum the share of groups for training, at least 1 and not all if there are two."""
-    own = Window.partitionBy("stratum")
-    n = F.count("*").over(own)
-    ranked = units.withColumn("_n", n).withColumn("_r", F.row_number().over(own.orderBy(hash_order(seed, F.col("unit")), "unit")))
+    placed = ranked(units, "stratum", hash_order(seed, F.col("unit")), "unit")
     target = F.when(F.col("_n") > 1, F.least(F.greatest(F.bround(F.col("_n") * train_share, 0).cast("int"), F.lit(1)), F.col("_n") - 1)).otherwise(F.col("_n"))
-    return ranked.select(*units.columns, F.when(F.col("_r") <= target, "train").otherwise("val").alias("split"))
+    return placed.select(*units.columns, F.when(F.col("_r") <= target, "train").otherwise("val").alias("split"))
 
 
 def val_only_strata(split_units: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granulon.functions import scalars
 from granulon.operators import audit, dedup, manifest, matching, raster, recipe, sampling, spatial, stats, tuning
@@ -59,6 +60,27 @@ def test_backfill_stops_when_it_has_enough(spark):
     assert len(got) == 26
 
 
+def test_places_in_large_strata(spark):
+    """Nine tenths of a million units are one stratum: the same places as by ordering it, and no window over it."""
+    units = spark.range(1_000_000).select(F.col("id").alias("unit"), F.when(F.col("id") % 10 == 0, F.when(F.col("id") % 7 != 0, F.col("id") % 7)).otherwise(99).alias("stratum"))
+    got = sampling.ranked(units, "stratum", sampling.hash_order(42, F.col("unit")), "unit")
+    plain = Window.partitionBy("stratum")
+    order = sampling.hash_order(42, F.col("unit"))
+    expected = units.select("unit", F.row_number().over(plain.orderBy(order, "unit")).alias("r"), F.count("*").over(plain).alias("n"))
+    assert got.join(expected, "unit").where("_r = r AND _n = n").count() == got.count() == 1_000_000
+    plan = sampling.stratified_split(units.withColumn("n_rows", F.lit(1)), 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" in plan and not any("row_number()" in line and "_d#" not in line for line in plan.splitlines() if "Window" in line)
+    val = sampling.stratified_split(units.withColumn("n_rows", F.lit(1)), 0.1).where("split = 'val'").groupBy("stratum").count()
+    assert {r[0]: r[1] for r in val.collect()}[99] == 90_000
+
+
+def test_places_of_equal_orders(spark):
+    """An order that isn't spread at all is still exact."""
+    units = spark.range(100).select(F.col("id").alias("unit"), F.lit("s").alias("stratum"))
+    got = sampling.ranked(units, "stratum", F.lit("ab"), "unit").collect()
+    assert all(r._r == r.unit + 1 and r._n == 100 for r in got)
+
+
 def test_group_split_leaves_both_sides_something(spark):
     units = spark.createDataFrame([(i, s) for s, n in ((1, 1), (2, 2), (3, 6), (4, 10)) for i in range(s * 100, s * 100 + n)], "unit int, stratum int")
     got = {r.stratum: r.n for r in sampling.group_split(units).where("split = 'train'").groupBy("stratum").agg(F.count("*").alias("n")).collect()}
