@@ -6,8 +6,8 @@ k - 1 words are frequent (Apriori, by a bitmap of the frequent parts' buckets).
 k + 1 words, both of whose parts are candidates, by buckets of their hashes. A bitmap lets some phrases
 through that aren't frequent, which the exact counts drop, and holds none back that is.
 
-A task counts slices of its texts by numpy and gives a row for each different phrase or bucket of a slice.
-Bitmaps are all that is broadcast: their size is a parameter, at most MOST_BITS / 8 bytes each.
+A task counts slices of its texts by numpy and gives a row for each different phrase of a slice, and one for
+each block of buckets, as offsets and counts. Bitmaps are all that is broadcast: at most MOST_BITS / 8 bytes each.
 """
 
 from __future__ import annotations
@@ -24,21 +24,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granulon.llm.common import join_hot, partitions, shared_folder, slices, text_of
+from granulon.llm.common import drop_folder, join_hot, partitions, shared_folder, slices, text_of
 
 LONGEST = 4
 #: Occurrences of words that a task counts together.
 TOGETHER = 2_000_000
 #: Buckets of hashes: so many for each document, within these bounds; their number changes speed only.
-BITS_EACH, LEAST_BITS, MOST_BITS = 256, 1 << 22, 1 << 30
-#: A block of bitmap_construct_agg.
-BLOCK = 32_768
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
+#: Buckets of a block: of bitmap_construct_agg, and of counts on their way (offsets of 16 bits).
+BLOCK, COUNTED = 1 << 15, 1 << 16
 SCORE = 2_000_000
+NAMES = ["lang", "phrase", "bucket", "n", "counts"]
 #: Lower case and the ends of pieces. 0xFF is in no UTF-8 text.
 END = b"\xff"
 _FROM = bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(_FROM, bytes(range(97, 123)) + END * 10)
-ROWS = "lang string, phrase string, bucket bigint, n bigint"
+#: n words of a language (bucket -1), a phrase with its bucket, or a block of buckets (language and phrase null) with its counts.
+ROWS = "lang string, phrase string, bucket bigint, n bigint, counts binary"
 
 
 class Words(dict):
@@ -85,8 +87,8 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return different, np.bincount(codes, minlength=len(different)), first
 
 
-def count_slice(part: Slice, k: int, buckets: int, frequent: np.ndarray | None, likely: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Rows of ROWS: the number of words (k = 1, no phrase, bucket -1), candidates of k words, buckets of k + 1 words (no phrase)."""
+def count_slice(part: Slice, k: int, buckets: int, least: int, frequent: np.ndarray | None, likely: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows of ROWS: the number of words (k = 1), candidates of k words, buckets of k + 1 words."""
     ids, hashes, words = part.arrays()
     at = ids != 0
     bucket_of = lambda h: (_mixed(h) & np.uint64(buckets - 1)).astype(np.int64)
@@ -118,18 +120,29 @@ def count_slice(part: Slice, k: int, buckets: int, frequent: np.ndarray | None,
         yield _rows(part.lang, pc.binary_join_element_wise(*text, " ") if k > 1 else text[0], bucket_of(hashed[k - 1][first]), counts)
     if k < LONGEST:
         longer = whole[k] & chosen[: len(whole[k])] & chosen[1 : len(whole[k]) + 1]
-        different, counts, _ = _counted(bucket_of(hashed[k][longer]))
-        if len(different):
-            yield _rows(None, None, different, counts)
+        hit = np.sort(bucket_of(hashed[k][longer]))
+        if len(hit):
+            yield _blocks(hit, least)
 
 
-def _rows(lang: str | None, phrase: pa.Array | None, bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _rows(lang: str, phrase: pa.Array | None, bucket: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     size = len(n)
     phrase = pa.nulls(size, pa.string()) if phrase is None else phrase
-    return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), phrase, pa.array(bucket, pa.int64()), pa.array(n, pa.int64())], names=["lang", "phrase", "bucket", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), phrase, pa.array(bucket, pa.int64()), pa.array(n, pa.int64()), pa.nulls(size, pa.binary())], names=NAMES)
 
 
-def _pass(texts: DataFrame, k: int, buckets: int, frequent, likely) -> DataFrame:
+def _blocks(hit: np.ndarray, least: int) -> pa.RecordBatch:
+    """Sorted buckets as a row for each block: 16-bit offsets, then counts, which are held to `least`: more changes nothing."""
+    starts = np.flatnonzero(np.diff(hit, prepend=-1))
+    buckets, counts = hit[starts], np.minimum(np.diff(starts, append=len(hit)), least).astype(np.min_scalar_type(least))
+    offsets, block = (buckets % COUNTED).astype("<u2"), buckets // COUNTED
+    edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+    data = [offsets[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+    none = pa.nulls(len(data), pa.string())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(block[edges[:-1]], pa.int64()), pa.array(np.diff(edges), pa.int64()), pa.array(data, pa.binary())], names=NAMES)
+
+
+def _pass(texts: DataFrame, k: int, buckets: int, least: int, frequent, likely) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Slice] = {}
         maps = [None if b is None else np.frombuffer(b.value, np.uint8) for b in (frequent, likely)]
@@ -145,21 +158,40 @@ def _pass(texts: DataFrame, k: int, buckets: int, frequent, likely) -> DataFrame
                     n += own.n
                     if n >= TOGETHER:
                         for one in held.values():
-                            yield from count_slice(one, k, buckets, *maps)
+                            yield from count_slice(one, k, buckets, least, *maps)
                         held, n = {}, 0
         for one in held.values():
-            yield from count_slice(one, k, buckets, *maps)
+            yield from count_slice(one, k, buckets, least, *maps)
 
     return texts.mapInArrow(run, ROWS)
 
 
-def _bitmap(spark: SparkSession, rows: DataFrame, buckets: int):
-    """The set bits of the rows' buckets, as one broadcast array of buckets / 8 bytes."""
-    blocks = rows.groupBy(F.floor(F.col("bucket") / BLOCK).alias("b")).agg(F.bitmap_construct_agg(F.col("bucket") % BLOCK).alias("bits"))
+def _likely(rows: DataFrame, least: int) -> DataFrame:
+    """(b, bits): bitmaps of the blocks' buckets with `least` occurrences or more. Blocks come in order, so a task holds one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(COUNTED, np.int64)
+        out = lambda: pa.RecordBatch.from_pydict({"b": pa.array([now], pa.int64()), "bits": [np.packbits(total >= least, bitorder="little").tobytes()]})
+        for batch in batches:
+            for block, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != now:
+                    if now is not None:
+                        yield out()
+                    now, total = block, np.zeros(COUNTED, np.int64)
+                total[np.frombuffer(data, "<u2", n)] += np.frombuffer(data, np.min_scalar_type(least), n, 2 * n)
+        if now is not None:
+            yield out()
+
+    blocks = rows.where("counts IS NOT NULL").select("bucket", "n", "counts")
+    return blocks.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "b bigint, bits binary")
+
+
+def _bitmap(blocks: DataFrame, size: int, buckets: int):
+    """Bitmaps of blocks of `size` buckets as one broadcast array of buckets / 8 bytes."""
     whole = bytearray(buckets // 8)
-    for b, bits in blocks.toLocalIterator():  # buckets / 32,768 rows of 4 KB at most
-        whole[b * BLOCK // 8 : (b + 1) * BLOCK // 8] = bits
-    return spark.sparkContext.broadcast(bytes(whole))
+    for b, bits in blocks.toLocalIterator():  # buckets / 8 bytes in all
+        whole[b * size // 8 : (b + 1) * size // 8] = bits
+    return blocks.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
 def frequent_phrases(df: DataFrame, least: int, lang_col: str, text_col: str, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -172,17 +204,19 @@ def frequent_phrases(df: DataFrame, least: int, lang_col: str, text_col: str, fo
         buckets *= 2
     frequent = likely = None
     for k in range(1, LONGEST + 1):
-        path = f"{folder}/{k}"
-        # Rare phrases and buckets go before anything is stored; of the rows without a phrase, buckets have no language.
-        counted = _pass(texts, k, buckets, frequent, likely).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
-        counted.where((F.col("n") >= least) | (F.col("bucket") < 0)).write.parquet(path)
-        stored = spark.read.parquet(path)
+        _pass(texts, k, buckets, least, frequent, likely).write.parquet(f"{folder}/raw{k}")
+        raw = spark.read.parquet(f"{folder}/raw{k}")
+        # Rare phrases go before anything is stored.
+        counted = raw.where("counts IS NULL").groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
+        counted.where((F.col("n") >= least) | (F.col("bucket") < 0)).write.parquet(f"{folder}/{k}")
         for old in (frequent, likely):
             if old is not None:
                 old.destroy()
         if k < LONGEST:
-            frequent = _bitmap(spark, stored.where("phrase IS NOT NULL"), buckets)
-            likely = _bitmap(spark, stored.where("phrase IS NULL AND bucket >= 0"), buckets)
+            found = spark.read.parquet(f"{folder}/{k}").where("phrase IS NOT NULL")
+            bits = found.groupBy(F.floor(F.col("bucket") / BLOCK).alias("b")).agg(F.bitmap_construct_agg(F.col("bucket") % BLOCK).alias("bits"))
+            frequent, likely = _bitmap(bits, BLOCK, buckets), _bitmap(_likely(raw, least), COUNTED, buckets)
+        drop_folder(spark, f"{folder}/raw{k}")
     every = [spark.read.parquet(f"{folder}/{k}").where("phrase IS NOT NULL").select("lang", "phrase", F.lit(k).alias("k"), F.col("n").alias("f")) for k in range(1, LONGEST + 1)]
     phrases = every[0]
     for more in every[1:]:

@@ -140,6 +140,18 @@ def test_op12_equals_the_plain_version(spark, sf_dir):
     assert sorted(map(tuple, rows(spark, sf_dir, "op12_collocations"))) == plain_phrases(docs)
 
 
+@pytest.mark.parametrize("least", [2, 300])
+def test_counts_of_buckets(spark, least):
+    """Sums over rows of blocks, whose counts are held to the least that matters."""
+    rng = np.random.default_rng(1)
+    hits = [np.sort(np.concatenate([rng.integers(0, 300_000, 5000), np.repeat([7, 65_535, 65_536, 299_999], 200 * least // 300 + 1)])) for _ in range(3)]
+    rows_ = [r for h in hits for r in collocations._blocks(h, least).to_pylist()]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows_], collocations.ROWS)
+    got = {(r.b * 65_536 + i) for r in collocations._likely(df, least).collect() for i in np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")).tolist()}
+    values, counts = np.unique(np.concatenate(hits), return_counts=True)
+    assert got == set(values[counts >= least].tolist()) != set()
+
+
 @pytest.mark.parametrize("together", [50, 2_000_000])
 def test_phrases_of_odd_texts(spark, monkeypatch, together):
     monkeypatch.setattr(collocations, "TOGETHER", together)
@@ -153,8 +165,8 @@ def test_phrases_of_odd_texts(spark, monkeypatch, together):
 def test_crowded_buckets_change_nothing(spark, monkeypatch, sf_dir):
     """All hashes in few buckets: bitmaps hold nearly nothing back, and the counts stay exact."""
     docs = [(r.lang, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
-    monkeypatch.setattr(collocations, "LEAST_BITS", 32_768)
-    monkeypatch.setattr(collocations, "MOST_BITS", 32_768)
+    monkeypatch.setattr(collocations, "LEAST_BITS", 65_536)
+    monkeypatch.setattr(collocations, "MOST_BITS", 65_536)
     got = collocations.mine(texts_frame(spark, docs), least=4)
     assert sorted(map(tuple, got.collect())) == plain_phrases(docs, least=4)
 
@@ -166,7 +178,7 @@ def test_bitmaps_hold_phrases_back(spark, sf_dir):
         part.add(r.text or "")
     none = np.zeros(collocations.LEAST_BITS // 8, np.uint8)
     every = np.full(collocations.LEAST_BITS // 8, 255, np.uint8)
-    exact = lambda a, b: sum(x.num_rows for x in collocations.count_slice(part, 2, collocations.LEAST_BITS, a, b) if x.column(0).null_count == 0)
+    exact = lambda a, b: sum(x.num_rows for x in collocations.count_slice(part, 2, collocations.LEAST_BITS, 30, a, b) if x.column(0).null_count == 0)
     assert exact(none, every) == exact(every, none) == 0 < exact(every, every)
 
 
