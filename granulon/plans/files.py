@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granulon.plans.registry import Query, adder
 from granulon.session import shared_folder, table
 from granulon.sources import blocks, readers, sinks
+from granulon.streaming import ingest
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 query = adder(QUERIES)
@@ -183,3 +184,40 @@ def name_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(key.cast("string"), F.lit(".png"))
     table(spark, sf_dir, "customer").select(F.when(key % 3 == 0, F.concat(F.lit("# "), name)).when(key % 7 == 0, " ").otherwise(F.concat(F.lit(" "), name))).write.text(path)
     return readers.name_list(spark, path)
+
+
+_EVENTS = "e AS (SELECT md5(concat(event_type, '|', user_id % 50)) AS content, event_id AS no, concat('f', event_id) AS name, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS part FROM events WHERE event_id IS NOT NULL)"
+
+
+def _drops(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Events as files in two drops: (content, no, name), content by type and user, two thirds first."""
+    events = table(spark, sf_dir, "events").where("event_id IS NOT NULL")
+    content = F.md5(F.concat("event_type", F.lit("|"), (c("user_id") % 50).cast("string")))
+    rows = events.select(content.alias("content"), c("event_id").alias("no"), F.concat(F.lit("f"), c("event_id").cast("string")).alias("name"))
+    return [rows.where(c("no") % 3 != 0), rows.where(c("no") % 3 == 0)]
+
+
+@query(f"WITH {_EVENTS} SELECT content, arg_min(name, part * 1000000000 + no) AS name, count(*) AS n FROM e GROUP BY 1")
+def stream_keys_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over two drops, stopped in between: of each key the first row of the drop that had it first, and how many it had in all."""
+    folder, drops = _folder(spark), _drops(spark, sf_dir)
+    for rows in drops:
+        rows.write.mode("append").parquet(f"{folder}/drop")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/drop")
+        ingest.append_stream(source, f"{folder}/table", f"{folder}/checkpoint", ["content"], ["no"]).awaitTermination()
+    every = drops[0].unionByName(drops[1]).groupBy("content").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{folder}/table").select("content", "name").join(every, "content")
+
+
+@query(
+    f"""WITH {_EVENTS}, b AS (SELECT content, part, arg_max(name, no) AS name, count(*) AS n FROM e GROUP BY 1, 2), l AS (SELECT *, lag(name) OVER (PARTITION BY content ORDER BY part) AS old_name FROM b)
+    SELECT content, CASE WHEN old_name IS NULL THEN 'insert' ELSE 'replace' END AS action, name, old_name, n FROM l"""
+)
+def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of the same drops: contents inserted, then replaced under the last name of a drop."""
+    folder = _folder(spark)
+    for rows in _drops(spark, sf_dir):
+        rows.write.mode("append").parquet(f"{folder}/drop")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/drop")
+        ingest.upsert_stream(source, f"{folder}/log", f"{folder}/checkpoint", "content", "name", "no").awaitTermination()
+    return spark.read.parquet(f"{folder}/log")
