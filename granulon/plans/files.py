@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granulon.plans.registry import Query, adder
-from granulon.session import shared_folder, table
-from granulon.sources import blocks, readers, sinks
+from granulon.session import cut, shared_folder, table
+from granulon.sources import blocks, readers, sinks, sync
 from granulon.streaming import ingest
 
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -177,6 +177,36 @@ def flow_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(readers.flow_audit(spark, folder, header_only=False).select("image_id", "ok"), "image_id")
 
 
+@query("SELECT concat('s', s_suppkey) AS image_id, CASE s_suppkey % 4 WHEN 1 THEN 'float64' ELSE 'float32' END AS dtype, s_suppkey % 4 <> 2 AS ok, s_suppkey % 4 <> 3 AND s_suppkey % 4 <> 2 AS ok_values FROM supplier")
+def flow_header_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What headers and lengths say of flow files, without their values, and then what the values say: some are cut short, some aren't finite."""
+    values = F.transform(F.sequence(F.lit(1), F.lit(36)), lambda i: F.when((c("s_suppkey") % 4 == 3) & (i == 30), float("nan")).otherwise(i.cast("double")))
+    kind = F.when(c("s_suppkey") % 4 == 1, "<f8").otherwise("<f4")
+    arrays = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), c("s_suppkey").cast("string")).alias("image_id"), kind.alias("dtype"), F.array(*map(F.lit, (3, 4, 3))).alias("shape"), values.alias("v"), (c("s_suppkey") % 4 == 2).cast("int").alias("short"))
+    folder = _folder(spark)
+    sinks.files(sinks.npy_files(arrays, "v", cut_col="short"), folder, ".npy")
+    heads = readers.flow_audit(spark, folder).select("image_id", "dtype", "ok")
+    return heads.join(readers.flow_audit(spark, folder, header_only=False).select("image_id", c("ok").alias("ok_values")), "image_id")
+
+
+@query(
+    """SELECT concat('s', s_suppkey, '.txt') AS name, CASE s_suppkey % 4 WHEN 0 THEN 'copy' WHEN 1 THEN 'replace' WHEN 2 THEN 'delete' ELSE 'keep' END AS action, s_suppkey % 4 <> 3 AS done, s_suppkey % 4 <> 2 AS there FROM supplier"""
+)
+def file_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder brought to the state of another one: what the plan had, what was done, and what is there afterwards, equal to the source."""
+    key = c("s_suppkey")
+    name = F.concat(F.lit("s"), key.cast("string"))
+    rows = table(spark, sf_dir, "supplier")
+    text = lambda what: F.encode(F.concat(F.lit(what), c("s_name")), "UTF-8").alias("content")
+    source, target = _folder(spark), _folder(spark)
+    sinks.files(rows.where(key % 4 != 2).select(name.alias("image_id"), text("new ")), source, ".txt")
+    sinks.files(rows.where(key % 4 != 0).select(name.alias("image_id"), F.when(key % 4 == 3, text("new ")).otherwise(text("old ")).alias("content")), target, ".txt")
+    steps = cut(sync.plan(sync.contents(spark, source), sync.contents(spark, target)))
+    done = cut(sync.apply(steps, source, target))
+    after = sync.plan(sync.contents(spark, source), sync.contents(spark, target))
+    return done.join(after.where("action = 'keep'").select("name", F.lit(True).alias("there")), "name", "left").select("name", "action", "done", F.coalesce("there", F.lit(False)).alias("there"))
+
+
 @query("SELECT concat(c_custkey, '.png') AS file_name FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 7 <> 0")
 def name_list_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of names with blank lines and comments."""

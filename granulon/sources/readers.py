@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,6 @@ from granulon.operators import flows as flows_table
 from granulon.operators import raster
 from granulon.sources import blocks, png
 
-FLOW_HEADER = "image_id string, ok boolean, dtype string, shape array<int>, finite boolean"
 COCO = (
     "images array<struct<id:bigint,file_name:string,height:int,width:int>>,"
     "annotations array<struct<id:bigint,image_id:bigint,category_id:int,segmentation:string,bbox:array<double>,area:double,iscrowd:int>>,"
@@ -117,22 +117,77 @@ def mask_runs(spark: SparkSession, directory: str, pattern: str = "*.png", conne
     return _from_files(files, one, flows_table.RUNS, stem(F.col("path")))
 
 
+#: What is read of a file for its header, and of its values at once.
+HEAD, VALUES = 128, 1 << 24
+
+
+def _npy_header(data: bytes) -> tuple[tuple[int, ...], np.dtype, int]:
+    """Shape, type and the place of the first value, from a file's first bytes; longer headers ask for more of them."""
+    source = io.BytesIO(data)
+    version = np.lib.format.read_magic(source)
+    shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(source)
+    return shape, dtype, source.tell()
+
+
+def flow_headers(spark: SparkSession, directory: str) -> DataFrame:
+    """(path, image_id, length, ok, dtype, shape, start, bytes_read) of .npy files from their first bytes and lengths alone.
+
+    ok: three channels of floats, and as many bytes as these need. The listing knows the lengths; the folder is one that
+    pyarrow's file systems reach from all executors, and files are dealt to tasks by their number.
+    """
+    schema = "path string, image_id string, length bigint, ok boolean, dtype string, shape array<int>, start bigint, bytes_read bigint"
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def one(path: str, image: str, length: int) -> tuple:
+        store, at = fs.FileSystem.from_uri(path)
+        data, n = b"", HEAD
+        with store.open_input_file(at) as source:
+            while True:
+                data += source.read(n - len(data))
+                try:
+                    shape, dtype, start = _npy_header(data)
+                    break
+                except (ValueError, EOFError, OSError):
+                    if n >= 64 * HEAD or len(data) < n:
+                        return path, image, length, False, None, None, None, len(data)
+                    n *= 8
+        whole = length == start + dtype.itemsize * int(np.prod(shape, dtype=np.int64))
+        return path, image, length, bool(len(shape) == 3 and shape[0] >= 3 and dtype.kind == "f" and whole), str(dtype), list(shape), start, len(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [one(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+
+    files = listing(spark, directory, "*.npy").select("path", "stem", "length")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(tasks, F.xxhash64("path")).mapInArrow(run, schema)
+
+
 def flow_audit(spark: SparkSession, directory: str, header_only: bool = True) -> DataFrame:
-    """(image_id, ok, dtype, shape, finite) of flow files; with header_only, finite isn't looked at (null)."""
+    """(image_id, ok, dtype, shape, finite) of flow files; with header_only no values are read, and finite is null.
 
-    def one(k: str, content: bytes) -> list[tuple]:
-        try:
-            source = io.BytesIO(content)
-            version = np.lib.format.read_magic(source)
-            shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(source)
-            finite = None if header_only else bool(np.isfinite(np.load(io.BytesIO(content))).all())
-            ok = len(shape) == 3 and shape[0] >= 3 and dtype.kind == "f" and finite is not False
-            return [(k, ok, str(dtype), list(shape), finite)]
-        except (ValueError, EOFError, OSError):
-            return [(k, False, None, None, None)]
+    Values are read by blocks of some megabytes, each a row of its own, so a large file isn't one task.
+    """
+    heads = flow_headers(spark, directory)
+    if header_only:
+        return heads.select("image_id", "ok", "dtype", "shape", F.lit(None).cast("boolean").alias("finite"))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(directory)
-    return _from_files(files, one, FLOW_HEADER, stem(F.col("path")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, dtype, at, size in zip(*(batch.column(k).to_pylist() for k in ("path", "dtype", "at", "size"))):
+                store, place = fs.FileSystem.from_uri(path)
+                with store.open_input_file(place) as source:
+                    source.seek(at)
+                    found.append(bool(np.isfinite(np.frombuffer(source.read(size), dtype)).all()))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.bool_())], names=["path", "finite"])
+
+    good = heads.where("ok AND start < length").select("path", "dtype", "length", F.explode(F.sequence("start", F.col("length") - 1, F.lit(VALUES).cast("bigint"))).alias("at"))
+    blocks_ = good.withColumn("size", F.least(F.lit(VALUES).cast("bigint"), F.col("length") - F.col("at"))).select("path", "dtype", "at", "size")
+    finite = blocks_.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path", "at")).mapInArrow(run, "path string, finite boolean").groupBy("path").agg(F.bool_and("finite").alias("finite"))
+    joined = heads.join(finite, "path", "left")
+    return joined.select("image_id", (F.col("ok") & F.coalesce("finite", F.lit(True))).alias("ok"), "dtype", "shape", "finite")
 
 
 def flows(spark: SparkSession, directory: str) -> DataFrame:

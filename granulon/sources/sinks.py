@@ -138,6 +138,22 @@ def flow_files(flows: DataFrame) -> DataFrame:
     return flows.select("image_id", "h", "w", "cellprob", "dy", "dx").mapInArrow(run, "image_id string, content binary")
 
 
+def npy_files(arrays: DataFrame, values: str, key: str = "image_id", cut_col: str | None = None) -> DataFrame:
+    """(key, content): .npy files of rows with a type (dtype), a shape and values; cut_col: bytes to leave out at the end."""
+    rows = arrays.select(F.col(key).cast("string"), "dtype", "shape", values, (F.col(cut_col) if cut_col else F.lit(0)).cast("int").alias("_cut"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = []
+            for _, dtype, shape, v, cut in zip(*(c.to_pylist() for c in batch.columns)):
+                sink = io.BytesIO()
+                np.save(sink, np.array(v).astype(dtype).reshape(shape))
+                contents.append(sink.getvalue()[: len(sink.getvalue()) - cut])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.binary())], names=[key, "content"])
+
+    return rows.mapInArrow(run, f"{key} string, content binary")
+
+
 def files(contents: DataFrame, folder: str, suffix: str, key: str = "image_id") -> int:
     """A file of each row's content, named by its key; returns how many. A file is whole under its name or not there.
 
