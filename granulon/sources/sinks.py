@@ -13,6 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granulon.operators import reports
 from granulon.operators.dedup import append_new
 from granulon.operators.manifest import FIELDS as MANIFEST_FIELDS
 from granulon.operators.manifest import normalise
@@ -66,13 +67,16 @@ def one_file(lines: DataFrame, path: str, head: Sequence[str] = (), order: str =
 def one_document(members: Mapping[str, DataFrame], path: str, head: str = "") -> None:
     """One JSON document in one file in the folder `path`: `head`, then a list for each member of its table's structs `e`.
 
-    One task streams the elements; no list is gathered, and empty lists are written too.
+    One task streams the elements, in order of a text column `at` where a member has one; no list is gathered, and empty lists are
+    written too.
     """
     names = list(members)
-    rows = lines = None
+    # A row of no member, so that there is a task where there are no elements.
+    rows = members[names[0]].sparkSession.range(1).select(F.lit(-1).alias("k"), F.lit("").alias("line"), F.lit(None).cast("string").alias("at"))
     for k, name in enumerate(names):
-        lines = members[name].select(F.lit(k).alias("k"), F.to_json("e").alias("line"))
-        rows = lines if rows is None else rows.unionByName(lines)
+        at = F.col("at") if "at" in members[name].columns else F.lit(None)
+        lines = members[name].select(F.lit(k).alias("k"), F.to_json("e").alias("line"), at.cast("string").alias("at"))
+        rows = rows.unionByName(lines)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first = 0, True
@@ -80,6 +84,8 @@ def one_document(members: Mapping[str, DataFrame], path: str, head: str = "") ->
         for batch in batches:
             out = []
             for k, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if k < 0:
+                    continue
                 while now < k:
                     now, first = now + 1, True
                     out.append("], " + json.dumps(names[now]) + ": [")
@@ -89,7 +95,13 @@ def one_document(members: Mapping[str, DataFrame], path: str, head: str = "") ->
         rest = ["], " + json.dumps(n) + ": [" for n in names[now + 1 :]]
         yield pa.RecordBatch.from_pydict({"value": [*rest, "]}"]})
 
-    rows.repartition(1).sortWithinPartitions("k").mapInArrow(run, "value string").write.text(path)
+    rows.repartition(1).sortWithinPartitions("k", "at").select("k", "line").mapInArrow(run, "value string").write.text(path)
+
+
+def report(head: DataFrame, lists: Mapping[str, DataFrame], path: str) -> None:
+    """A report as one JSON document in the folder `path`: the members of the head's one row, then the lists, whole."""
+    first = head.select(F.to_json(F.struct(*head.columns))).first()[0]
+    one_document(lists, path, first[1:-1] + ", " if len(first) > 2 else "")
 
 
 def coco_splits(images: DataFrame, annotations: DataFrame, folder: str, split: str = "split") -> list[str]:
@@ -179,7 +191,7 @@ def files(contents: DataFrame, folder: str, suffix: str, key: str = "image_id")
 
 
 def report_json(parts: dict[str, DataFrame], rows: int = 50) -> str:
-    """A report of small tables, with no more than `rows` rows of each listed and the number of all."""
+    """A short report of tables: `rows` rows of each, in no order, and the number of all. `report` writes whole ones."""
     out = {}
     for name, df in parts.items():
         listed = [json.loads(x) for x in df.limit(rows).toJSON().collect()]
@@ -187,16 +199,6 @@ def report_json(parts: dict[str, DataFrame], rows: int = 50) -> str:
     return json.dumps(out, ensure_ascii=False, sort_keys=True)
 
 
-def markdown_table(counts: DataFrame, title: str, rows: int = 50) -> str:
-    """A field's values and counts, the most frequent first."""
-    listed = counts.orderBy(F.desc("n"), "value").limit(rows).collect()
-    return "\n".join([f"### {title}", "", "| value | n |", "|-|-|", *[f"| {r['value']} | {r['n']} |" for r in listed]])
-
-
-def readiness_markdown(summary: DataFrame, gates: DataFrame) -> str:
-    """The readiness report: a table for each field, then what passed."""
-    fields = sorted(r[0] for r in summary.select("field").distinct().collect())
-    tables = [markdown_table(summary.where(F.col("field") == f), f) for f in fields]
-    checks = gates.orderBy("rule").limit(200).collect()
-    lines = ["| rule | result | detail |", "|-|-|-|", *[f"| {r['rule']} | {'PASS' if r['ok'] else 'FAIL'} | {r['detail']} |" for r in checks]]
-    return "\n\n".join([*tables, "\n".join(lines)])
+def readiness_markdown(summary: DataFrame, gates: DataFrame, values: int = 50) -> str:
+    """The readiness report: the most frequent values of each field, then all that passed or failed; one job."""
+    return reports.markdown(summary, gates, values).first()[0]
