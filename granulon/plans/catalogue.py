@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granulon.plans import files, images, labels, manifests, recipes, reporting
+from granulon.plans import files, images, labels, layouts, manifests, recipes, reporting
 
 FLAGSHIP = "stratified_split"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, (run, _) in (manifests.QUERIES | images.QUERIES | labels.QUERIES | files.QUERIES | recipes.QUERIES | reporting.QUERIES).items()}
+    return {name: run for name, (run, _) in (manifests.QUERIES | images.QUERIES | labels.QUERIES | files.QUERIES | recipes.QUERIES | reporting.QUERIES | layouts.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in (manifests.QUERIES | images.QUERIES | labels.QUERIES | files.QUERIES | recipes.QUERIES | reporting.QUERIES).items() if sql}
+    return {name: sql for name, (_, sql) in (manifests.QUERIES | images.QUERIES | labels.QUERIES | files.QUERIES | recipes.QUERIES | reporting.QUERIES | layouts.QUERIES).items() if sql}
