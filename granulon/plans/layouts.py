@@ -166,7 +166,7 @@ def draft_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.with_defaults(manifest.normalise(draft), "prepared_2024-01-31").select("record_id", "source", "label_status")
 
 
-@query("SELECT md5(concat(floor(l_quantity / 10), 'x', l_linenumber, text)) AS h, count(*) AS n FROM lineitem, (SELECT 'pixels' AS text) GROUP BY 1")
+@query("SELECT md5(concat(floor(l_quantity / 10), 'x', l_linenumber, 'x', text)) AS h, count(*) AS n FROM lineitem, (SELECT 'pixels' AS text) GROUP BY 1")
 def shaped_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pixels in another shape are another content."""
     rows = table(spark, sf_dir, "lineitem").select(F.encode(F.lit("pixels"), "UTF-8").alias("p"), F.floor(c("l_quantity") / 10).cast("double").alias("h"), c("l_linenumber").alias("w"))
