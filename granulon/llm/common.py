@@ -33,7 +33,8 @@ def join_hot(rows: DataFrame, each: DataFrame, key: str, how: str = "left", shar
 
     Keys with more than one in `shares` of the rows, fewer than `shares` of them whatever the input, are
     dealt to as many places as they have such shares, and only their rows of `each` are copied. rows are
-    read twice, so they should be stored or cheap. Null keys meet nothing and are dealt out too.
+    read twice, so they should be stored or cheap. Null keys meet nothing and are dealt out too. The place is a
+    hash of all of a row's columns: a task that runs again deals its rows as before, in whatever order they come.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     total = rows.count()
@@ -44,7 +45,7 @@ def join_hot(rows: DataFrame, each: DataFrame, key: str, how: str = "left", shar
     kind = each.schema[key].dataType.simpleString()
     hot = rows.sparkSession.createDataFrame([(k, n) for k, n in places.items() if k is not None], f"k {kind}, _places int")
     number = F.coalesce("_places", F.when(F.col("k").isNull() & F.col(key).isNull(), places.get(None, 1)), F.lit(1))
-    dealt = rows.join(F.broadcast(hot), rows[key] == F.col("k"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), number).cast("int")).drop("k", "_places")
+    dealt = rows.join(F.broadcast(hot), rows[key] == F.col("k"), "left").withColumn("_salt", F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), number).cast("int")).drop("k", "_places")
     copies = each.join(F.broadcast(hot), each[key] == F.col("k"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("k", "_places")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 

@@ -249,3 +249,18 @@ def test_written_shards_hold_every_record(spark, odd, tmp_path):
     assert again.where("_shard <> s").count() == 0
     with pytest.raises(ValueError):
         sharding.write(odd.withColumn("_SHARD", F.lit(1)), f"{tmp_path}/other", [1.0])
+
+
+# Joins of hot keys
+
+
+def test_hot_keys_are_dealt_by_the_rows_themselves(spark):
+    """Whole results with a key of most rows and null keys; a row's place doesn't hang on the order in which rows come."""
+    from granulon.llm.common import join_hot
+
+    df = spark.range(5000).select(F.col("id").alias("i"), F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 9 > 0, F.col("id")).alias("k"))
+    each = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    got = join_hot(df, each, "k")
+    assert "monotonically_increasing_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+    expected = sorted((r.i, r.k, None if r.k is None or r.k >= 3000 else 2 * r.k) for r in df.collect())
+    assert sorted((r.i, r.k, r.v) for r in got.collect()) == expected
