@@ -43,10 +43,10 @@ def join_hot(rows: DataFrame, each: DataFrame, key: str, how: str = "left", shar
         return rows.join(each, key, how)
     places = {r[0]: -(-r[1] * shares // max(1, total)) for r in found}
     kind = each.schema[key].dataType.simpleString()
-    hot = rows.sparkSession.createDataFrame([(k, n) for k, n in places.items() if k is not None], f"k {kind}, _places int")
-    number = F.coalesce("_places", F.when(F.col("k").isNull() & F.col(key).isNull(), places.get(None, 1)), F.lit(1))
-    dealt = rows.join(F.broadcast(hot), rows[key] == F.col("k"), "left").withColumn("_salt", F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), number).cast("int")).drop("k", "_places")
-    copies = each.join(F.broadcast(hot), each[key] == F.col("k"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("k", "_places")
+    hot = rows.sparkSession.createDataFrame([(k, n) for k, n in places.items() if k is not None], f"_hot {kind}, _places int")
+    number = F.coalesce("_places", F.when(F.col("_hot").isNull() & F.col(key).isNull(), places.get(None, 1)), F.lit(1))
+    dealt = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(*[rows[c] for c in rows.columns]), number).cast("int")).drop("_hot", "_places")
+    copies = each.join(F.broadcast(hot), each[key] == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_places", F.lit(1)) - 1))).drop("_hot", "_places")
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
 
 
