@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granulon.operators.dedup import numbered_within
+
 
 def pair_audit(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, status): paired, missing (no right side) or orphan (no left side), a row for each key."""
@@ -71,10 +73,9 @@ def key_collisions(df: DataFrame, key: Column, name: Column) -> DataFrame:
 
 
 def renamed(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """df with new_name: the first row of a name keeps it, others get _1, _2, ... before the extension."""
-    k = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    """df with new_name: the first row of a name keeps it, others get _1, _2, ... before the extension. A name may have any number of rows."""
     parts = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("_k", k).withColumn("new_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(parts[0], F.lit("_"), F.col("_k").cast("string"), parts[1]))).drop("_k")
+    return numbered_within(df, name, order, "_k").withColumn("new_name", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(parts[0], F.lit("_"), F.col("_k").cast("string"), parts[1]))).drop("_k")
 
 
 def status_counts(checks: DataFrame, status: str = "status") -> DataFrame:

@@ -61,3 +61,20 @@ def renumbered(df: DataFrame, order: Sequence[str], to: str = "new_id", within:
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return ranged.join(before, "_p").withColumn(to, (F.col("_b") + F.col("_i") + 1).cast("bigint")).drop("_m", "_p", "_i", "_b")
+
+
+def numbered_within(df: DataFrame, group: str, order: Sequence[str], to: str) -> DataFrame:
+    """df with numbers 0, 1, ... of each group in order, for groups of any size; null is a group too.
+
+    Rows are dealt by ranges of group and order, so a large group is in many tasks; each numbers its own rows of a group, and counts
+    by group and task give the first number.
+    """
+    c = F.col
+    # Cut off first: ranges drawn anew would number the rows otherwise.
+    ranged = cut(df.repartitionByRange(c(group), *[c(o) for o in order]).withColumn("_p", F.spark_partition_id()))
+    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_p").orderBy(*order)) - 1)
+    sizes = ranged.groupBy(c(group).alias("_g"), c("_p").alias("_q")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = sizes.select("_g", "_q", F.coalesce(before, F.lit(0)).alias("_b"))
+    joined = local.join(firsts, c(group).eqNullSafe(c("_g")) & (c("_p") == c("_q")))
+    return joined.select(*df.columns, (c("_k") + c("_b")).alias(to))

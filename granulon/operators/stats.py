@@ -21,7 +21,7 @@ def percentile(value: Column | str, q: float) -> Column:
 
 
 def upper_median(value: Column | str) -> Column:
-    """The element in the middle of the sorted values, the upper one of two; null of nothing."""
+    """The element in the middle of the sorted values, the upper one of two; null of nothing. For groups of bounded size; see percentiles()."""
     values = F.array_sort(F.collect_list(value))
     return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
@@ -58,9 +58,11 @@ def image_label_stats(instances: DataFrame, sizes: DataFrame, image: str = "imag
     )
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float | str]) -> DataFrame:
     """(keys..., n, p10, ...): exact percentiles as of percentile() for groups of any size; one row without keys.
 
+    Of qs, "upper" is the upper median as of upper_median(), in a column upper_median.
+
     Values are counted, and ranges of them sorted in parallel. The ranges' sums tell which of them hold the
     wanted ranks, and only these are looked through. Null values don't count; a group without others has 0.
     """
@@ -71,7 +73,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[flo
     group = Window.partitionBy(*names)  # of the sums: a row for each range that has values of the group
     sums = ranged.groupBy(*names, "_p").agg(F.sum("_n").alias("_s"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_s").over(group))
-    place = {q: F.lit(q / 100) * (c("_total") - 1) for q in qs}
+    place = {q: F.floor(c("_total") / 2).cast("double") if q == "upper" else F.lit(q / 100) * (c("_total") - 1) for q in qs}
 
     def holds(rank: Column, first: Column, n: Column) -> Column:
         return (rank >= first) & (rank < first + n)
@@ -89,7 +91,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[flo
     for q, at in place.items():
         low, high = (F.max(F.when(holds(rank, c("_first"), c("_n")), c("_v"))) for rank in (F.floor(at), F.ceil(at)))
         share = F.max(at - F.floor(at))
-        out.append(F.coalesce(F.when(low == high, low).otherwise((1 - share) * low + share * high), F.lit(0.0)).alias(f"p{q:g}"))
+        found = F.when(low == high, low).otherwise((1 - share) * low + share * high)
+        out.append(found.alias("upper_median") if q == "upper" else F.coalesce(found, F.lit(0.0)).alias(f"p{q:g}"))
     return rows.groupBy(*names).agg(F.coalesce(F.max("_total"), F.lit(0)).alias("n"), *out)
 
 

@@ -97,7 +97,8 @@ def small_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey // 64 AS image, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS upper_median FROM lineitem GROUP BY 1")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.floor(c("l_orderkey") / 64).alias("image")).agg(stats.upper_median("l_quantity").alias("upper_median"))
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(c("l_orderkey") / 64).alias("image"), "l_quantity")
+    return stats.percentiles(rows, ["image"], "l_quantity", ["upper"]).select("image", "upper_median")
 
 
 @query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS pop_std FROM lineitem GROUP BY 1")

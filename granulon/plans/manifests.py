@@ -199,11 +199,11 @@ def mask_key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("names", F.array_join("names", ","))
 
 
-@query("SELECT doc_id, CASE WHEN k = 0 THEN f ELSE concat(source, '_', k, '.png') END AS new_name FROM (SELECT doc_id, source, concat(source, '.png') AS f, row_number() OVER (PARTITION BY source, doc_id // 64 ORDER BY doc_id) - 1 AS k, doc_id // 64 AS b FROM documents)")
+@query("SELECT doc_id, CASE WHEN k = 0 THEN f ELSE concat(source, '_', k, '.png') END AS new_name FROM (SELECT doc_id, source, concat(source, '.png') AS f, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k FROM documents)")
 def collision_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names within batches of 64 documents."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".png")).alias("f"), F.floor(c("doc_id") / 64).alias("b"))
-    return audit.renamed(rows.withColumn("name", F.concat_ws("/", c("b").cast("string"), "f")), "name", ["doc_id"]).select("doc_id", F.substring_index("new_name", "/", -1).alias("new_name"))
+    """All documents of a source want its name."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit(".png")).alias("name"))
+    return audit.renamed(rows, "name", ["doc_id"]).select("doc_id", "new_name")
 
 
 @query(

@@ -313,3 +313,17 @@ def test_recipe(spark):
 
 def test_grid_has_all_combinations(spark):
     assert tuning.grid(spark, {"a": range(5), "b": range(5), "c": range(4)}).distinct().count() == 100
+
+
+def test_upper_medians_of_groups(spark):
+    rows = [("a", 3.0), ("a", 1.0), ("a", 2.0), ("b", 4.0), ("b", 1.0), ("b", 9.0), ("b", 2.0), ("c", None), (None, 5.0)]
+    got = {r.g: (r.upper_median, r.p50) for r in stats.percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", ["upper", 50]).collect()}
+    assert got == {"a": (2.0, 2.0), "b": (4.0, 3.0), "c": (None, 0.0), None: (5.0, 5.0)}
+
+
+def test_names_of_many_rows(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, "hot.png").when(F.col("id") % 20 > 0, "b").alias("name"))
+    got = {r.id: r.new_name for r in audit.renamed(rows, "name", ["id"]).collect()}
+    hot = [i for i in range(3000) if i % 10]
+    assert [got[i] for i in hot] == ["hot.png", *[f"hot_{k}.png" for k in range(1, len(hot))]]
+    assert got[10] == "b" and got[30] == "b_1" and len(got) == 3000
