@@ -102,11 +102,13 @@ def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ANN} SELECT id, CAST((SELECT sum(greatest(0, least(128, x + h + 1) - (x + d))) FROM range(0, CAST(h AS BIGINT)) t(d) WHERE y + d < 128) AS BIGINT) AS area, CAST(y AS BIGINT) AS first_y FROM ann WHERE triangle"""
+    f"""WITH {_ANN} SELECT concat_ws('-', id, CAST(h AS BIGINT)) AS id, CAST((SELECT sum(greatest(0, least(128, x + h + 1) - (x + d))) FROM range(0, CAST(h AS BIGINT)) t(d) WHERE y + d < 128) AS BIGINT) AS area, CAST(y AS BIGINT) AS first_y FROM ann WHERE triangle"""
 )
 def polygon_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of triangles with two sides along the axes, by scan lines, clipped to 128 x 128."""
-    rows = _annotations(spark, sf_dir).withColumn("polygons", F.from_json("segmentation", "array<array<double>>"))
+    notes = _annotations(spark, sf_dir).withColumn("polygons", F.from_json("segmentation", "array<array<double>>"))
+    # Some items have the same key: with the height it is a row's own.
+    rows = notes.withColumn("id", F.concat_ws("-", "id", F.element_at("bbox", 4).cast("bigint").cast("string")))
     found = runs.of_polygons(rows, ["id"], "polygons", F.lit(128), F.lit(128))
     return found.groupBy("id").agg(F.sum(c("x1") - c("x0")).alias("area"), F.min("y").alias("first_y"))
 
