@@ -63,13 +63,14 @@ def _meeting(a: DataFrame, b: DataFrame, image: str, of_a: Sequence[Column], of_
     """Rows of a and b of an image whose rectangles (left, top, right, bottom; half open) meet, or might at a common edge.
 
     Both are dealt to the grid cells that they touch; a pair counts in the cell of its common corner only.
-    Tiles touch four cells at most, so no image's boxes are joined with all of its tiles.
+    Tiles touch four cells at most, so no image's boxes are joined with all of its tiles. Spark's estimate knows nothing of the
+    cells that rows are dealt to, so it would broadcast a side that is far larger than it looks: the join is by merging.
     """
     place = lambda v: F.floor(v.cast("double") / cell)
     touched = lambda lo, hi: F.explode(F.sequence(place(lo), F.greatest(place(lo), F.ceil(hi.cast("double") / cell) - 1)))
     deal = lambda df, r: df.withColumn("_cx", touched(r[0], r[2])).withColumn("_cy", touched(r[1], r[3]))
     corner = (place(F.greatest(of_a[0], of_b[0])) == F.col("_cx")) & (place(F.greatest(of_a[1], of_b[1])) == F.col("_cy"))
-    return deal(a, of_a).join(deal(b, of_b), [image, "_cx", "_cy"]).where(corner).drop("_cx", "_cy")
+    return deal(a, of_a).join(deal(b, of_b).hint("merge"), [image, "_cx", "_cy"]).where(corner).drop("_cx", "_cy")
 
 
 def clip_runs(runs: DataFrame, tiles: DataFrame, image: str = "image_id") -> DataFrame:
@@ -82,8 +83,11 @@ def clip_runs(runs: DataFrame, tiles: DataFrame, image: str = "image_id") -> Dat
 
 
 def boxes_in_tiles(boxes: DataFrame, tiles: DataFrame, image: str) -> DataFrame:
-    """Each box with each tile that it overlaps: lx0, ly0, lx1, ly1 is the part inside, in tile coordinates, ends included."""
-    t = tiles.select(image, F.col("x0").alias("tile_x"), F.col("y0").alias("tile_y"), F.col("x1").alias("tx1"), F.col("y1").alias("ty1"))
+    """Each box with each tile that it overlaps: lx0, ly0, lx1, ly1 is the part inside, in tile coordinates, ends included.
+
+    Other columns of the tiles stay.
+    """
+    t = tiles.withColumnsRenamed({"x0": "tile_x", "y0": "tile_y", "x1": "tx1", "y1": "ty1"})
     c = F.col
     pairs = _meeting(boxes, t, image, (c("x"), c("y"), c("x") + c("w"), c("y") + c("h")), (c("tile_x"), c("tile_y"), c("tx1"), c("ty1")))
     met = pairs.where((c("x") < c("tx1")) & (c("x") + c("w") > c("tile_x")) & (c("y") < c("ty1")) & (c("y") + c("h") > c("tile_y")))

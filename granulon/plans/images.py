@@ -299,7 +299,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.boxes_in_tiles(_items(spark, sf_dir), _tiles(spark, sf_dir).withColumnsRenamed({"h": "ih", "w": "iw"}).select("image", "x0", "y0", "x1", "y1"), "image")
+    return spatial.boxes_in_tiles(_items(spark, sf_dir), _tiles(spark, sf_dir).withColumnsRenamed({"h": "ih", "w": "iw"}), "image")
 
 
 @query(f"WITH {_PARTS}, q AS (SELECT *, lx0 <= 0 OR ly0 <= 0 OR lx1 + 1 >= tw OR ly1 + 1 >= th AS cut FROM parts) SELECT image, tx AS tile_x, ty AS tile_y, count(*) FILTER (NOT cut) AS n_kept, count(*) FILTER (cut) AS n_removed, CASE WHEN count(*) FILTER (cut) > 0 THEN concat('removed_truncated_instances=', count(*) FILTER (cut)) ELSE '' END AS notes FROM q GROUP BY 1, 2, 3")
@@ -312,8 +312,7 @@ def tile_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image, id, tx + lx0 AS x, ty + ly0 AS y FROM q WHERE c <= a OR d <= b OR (cx >= a AND cx < c AND cy >= b AND cy < d)"""
 )
 def core_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = _tiles(spark, sf_dir).select("image", c("w").alias("iw"), c("h").alias("ih")).distinct()
-    parts = _parts(spark, sf_dir).join(sizes, "image")
+    parts = _parts(spark, sf_dir)
     tw, th = c("tx1") - c("tile_x"), c("ty1") - c("tile_y")
     inside = spatial.in_core((c("lx0") + c("lx1")) / 2, (c("ly0") + c("ly1")) / 2, tw, th, c("tile_x") == 0, c("tile_y") == 0, c("tx1") >= c("iw"), c("ty1") >= c("ih"))
     return spatial.to_image(parts.where(inside), ["lx0"], ["ly0"]).select("image", "id", c("lx0").cast("bigint").alias("x"), c("ly0").cast("bigint").alias("y"))

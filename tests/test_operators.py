@@ -327,3 +327,18 @@ def test_names_of_many_rows(spark):
     hot = [i for i in range(3000) if i % 10]
     assert [got[i] for i in hot] == ["hot.png", *[f"hot_{k}.png" for k in range(1, len(hot))]]
     assert got[10] == "b" and got[30] == "b_1" and len(got) == 3000
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_are_joined_by_merging(spark):
+    """Small tables of sizes become many tiles, and these many cells: no side of their joins is broadcast whole."""
+    boxes = spark.createDataFrame([(1, 1, 10, 10, 20, 20), (2, 2, 900, 10, 200, 20)], "image int, id int, x int, y int, w int, h int")
+    tiles = spatial.tile_grid(spark.createDataFrame([(1, 2000, 2000), (2, 1500, 3000)], "image int, h int, w int"), "h", "w")
+    found = spatial.boxes_in_tiles(boxes, tiles.withColumnsRenamed({"h": "ih", "w": "iw"}), "image")
+    assert sorted((r.id, r.tile_x, r.tile_y, r.ih, r.iw) for r in found.collect()) == [(1, 0, 0, 2000, 2000), (2, 0, 0, 1500, 3000), (2, 768, 0, 1500, 3000)]
+    regions = spark.createDataFrame([(1, 500, 600, 1500, 1000)], "image int, x0 int, y0 int, x1 int, y1 int")
+    for df in (found, spatial.regions_in_tiles(regions, tiles, "image")):
+        assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
