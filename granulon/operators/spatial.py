@@ -136,29 +136,29 @@ def cross_tile_candidates(parts: DataFrame, image: str, particle: str, iou: floa
     """(image, a, b, iou, distance) of detections that may be the same: by IoU, or near centres and like areas.
 
     parts: (image, particle, x, y, w, h, tile_x, tile_y) in image coordinates. Detections of the same tile
-    only pair in compat mode. Centres meet in cells as wide as the reach of either test; cells around are
-    joined too, and cells that pair twice are counted once.
+    only pair in compat mode. Of a pair, the one with the farther reach is sent to all cells that its reach touches, and
+    meets the other in the cell of its centre. Cells are twice as wide as what reaches across them, so a box is in two or three of
+    them; boxes of a farther reach meet in wider cells, to which the others are sent too if such boxes occur at all.
     """
     # Boxes whose IoU is above the limit have centres no further apart than their sides.
     c = F.col
-    centred = parts.withColumn("px", c("x") + c("w") / 2).withColumn("py", c("y") + c("h") / 2)
-    reach = F.greatest(F.lit(distance), F.greatest("w", "h"))
-    cells = centred.withColumn("size", F.greatest(F.lit(0), F.ceil(F.log2(reach / distance))).cast("int"))
-    # A box is dealt to the cells of its own size and of all larger ones that occur in its image; pairs meet at the larger size.
-    largest = cells.groupBy(image).agg(F.max("size").alias("_top"))
-    cells = cells.join(largest, image).withColumn("level", F.explode(F.sequence(c("size"), c("_top"))))
-    side = F.lit(distance) * F.pow(F.lit(2.0), c("level"))
-    home = cells.withColumn("cx", F.floor(c("px") / side)).withColumn("cy", F.floor(c("py") / side))
-    around = home.where(c("size") == c("level")).withColumn("cx", F.explode(F.array(c("cx") - 1, c("cx"), c("cx") + 1))).withColumn("cy", F.explode(F.array(c("cy") - 1, c("cy"), c("cy") + 1)))
-    names = [particle, "x", "y", "w", "h", "px", "py", "tile_x", "tile_y", "size"]
-    a = around.select(image, "level", "cx", "cy", *[F.col(n).alias("a" + n) for n in names])
-    b = home.select(image, "level", "cx", "cy", *[F.col(n).alias("b" + n) for n in names])
+    reach, px, py = F.greatest(F.lit(float(distance)), "w", "h"), c("x") + c("w") / 2, c("y") + c("h") / 2
+    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / (2 * distance)) / 2)).cast("int")
+    levels = sorted(r[0] for r in parts.select(level.alias("l")).distinct().collect() if r[0] is not None)  # a few whole numbers
+    side = F.lit(4.0 * distance) * F.pow(F.lit(4.0), c("level"))
+    touched = lambda p: F.explode(F.sequence(F.floor((p - reach) / side), F.floor((p + reach) / side)))
+    names = [particle, "x", "y", "w", "h", "tile_x", "tile_y"]
+    of = lambda df, k: df.select(image, "level", "cx", "cy", *[c(n).alias(k + n) for n in names])
+    a = of(parts.withColumn("level", level).withColumn("cx", touched(px)).withColumn("cy", touched(py)), "a")
+    own = F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda l: l >= level))
+    b = of(parts.withColumn("level", own).withColumn("cx", F.floor(px / side)).withColumn("cy", F.floor(py / side)), "b")
     ka, kb = c("a" + particle), c("b" + particle)
-    once = (c("bsize") < c("asize")) | ((c("bsize") == c("asize")) & (ka < kb))
-    met = a.join(b, [image, "level", "cx", "cy"]).where(once & (ka != kb))
+    of_pair = lambda k: F.greatest(F.lit(float(distance)), k + "w", k + "h")
+    once = (of_pair("b") < of_pair("a")) | ((of_pair("b") == of_pair("a")) & (ka < kb))
+    met = a.join(b.hint("merge"), [image, "level", "cx", "cy"]).where(once & (ka != kb))
     if not compat:
         met = met.where((c("atile_x") != c("btile_x")) | (c("atile_y") != c("btile_y")))
-    met = met.withColumn("iou", box_iou("a", "b")).withColumn("distance", F.hypot(c("apx") - c("bpx"), c("apy") - c("bpy")))
+    met = met.withColumn("iou", box_iou("a", "b")).withColumn("distance", F.hypot(c("ax") + c("aw") / 2 - c("bx") - c("bw") / 2, c("ay") + c("ah") / 2 - c("by") - c("bh") / 2))
     areas = c("aw") * c("ah"), c("bw") * c("bh")
     like = (F.least(*areas) > 0) & (F.greatest(*areas) <= area_ratio * F.least(*areas)) & (c("distance") <= distance)
     return met.where((c("iou") > iou) | like).select(image, F.least(ka, kb).alias("a"), F.greatest(ka, kb).alias("b"), "iou", "distance")

@@ -342,3 +342,14 @@ def test_tiles_are_joined_by_merging(spark):
     regions = spark.createDataFrame([(1, 500, 600, 1500, 1000)], "image int, x0 int, y0 int, x1 int, y1 int")
     for df in (found, spatial.regions_in_tiles(regions, tiles, "image")):
         assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
+
+
+def test_duplicates_meet_in_few_cells(spark):
+    """A detection is sent to the cells that its reach touches, not to nine and more; a far larger one is met all the same."""
+    rng = random.Random(5)
+    parts = [(1, i, rng.uniform(0, 4000), rng.uniform(0, 4000), 30.0, 30.0, i % 2, 0) for i in range(400)] + [(1, 1000, 10.0, 10.0, 3000.0, 3000.0, 0, 0), (1, 1001, 20.0, 20.0, 2900.0, 2900.0, 1, 0)]
+    df = spark.createDataFrame(parts, "image int, id int, x double, y double, w double, h double, tile_x int, tile_y int")
+    found = spatial.cross_tile_candidates(df, "image", "id")
+    assert (1000, 1001) in {(r.a, r.b) for r in found.collect()}
+    small = spatial.cross_tile_candidates(df.where("id < 1000"), "image", "id")
+    assert "SortMergeJoin" in plan_of(small) and "array(-1" not in plan_of(small) and " - 1)" not in plan_of(small)
