@@ -467,7 +467,7 @@ def euler_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
         dy, dx = raster.flow_of_masks(labels)
         return raster.postprocess(5 * dy, 5 * dx, np.where(labels > 0, 5.0, -5.0), least=20)
 
-    return _measured_squares(raster.by_image(_squares(spark, sf_dir), "image", again))
+    return _measured_squares(raster.by_image(_squares(spark, sf_dir).select("image", "y", "x", "v"), "image", again))
 
 
 @query(f"SELECT image, min_y, min_x, s * s AS area FROM ({_SQUARES}) WHERE odd = 0")
@@ -480,7 +480,7 @@ def flow_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
         dy, dx = raster.flow_of_masks(labels)
         return raster.drop_bad_flow(labels, np.where(odd, 5.0, 5 * dy), np.where(odd, 5.0, 5 * dx))
 
-    return _measured_squares(raster.by_image(_squares(spark, sf_dir), "image", checked))
+    return _measured_squares(raster.by_image(_squares(spark, sf_dir).select("image", "y", "x", "v", "odd"), "image", checked))
 
 
 @query(f"SELECT image, min_y, min_x, CASE WHEN odd = 0 THEN s * s ELSE s * s - (s - 4) * (s - 4) - 2 END AS area FROM ({_SQUARES})")

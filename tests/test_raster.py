@@ -92,3 +92,16 @@ def test_sinks_need_more_than_ten():
     y, x = np.full(10, 3), np.full(10, 3)
     assert not raster.cluster_sinks(y, x, (8, 8)).any()
     assert raster.cluster_sinks(np.full(11, 3), np.full(11, 3), (8, 8))[3, 3] == 1
+
+
+def test_ways_that_meet_go_on_as_one(monkeypatch):
+    """Following a flow costs no more than the ways that are still apart."""
+    labels = np.zeros((40, 40), np.int32)
+    labels[2:11, 3:12], labels[20:28, 20:29] = 1, 2
+    dy, dx = raster.flow_of_masks(labels)
+    sizes, floor = [], np.floor
+    monkeypatch.setattr(raster.np, "floor", lambda v: sizes.append(np.size(v)) or floor(v))
+    raster.follow_flow(5 * dy, 5 * dx, labels > 0)
+    monkeypatch.undo()
+    assert sizes[-1] < sizes[0] == (labels > 0).sum()
+    assert (raster.postprocess(5 * dy, 5 * dx, np.where(labels > 0, 5.0, -5.0)) == labels).all()
