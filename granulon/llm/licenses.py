@@ -31,7 +31,7 @@ from granulon.llm.common import cut, join_hot
 LEAST, MARGIN, FILE_SHARE = 0.5, 0.02, 0.8
 #: Words in different notices that a licence file without a licence file's name has at least: more than a notice of one line.
 FILE_WORDS = 25
-#: Words of a unit at most: some times as many as the longest template has. Longer ones are no notice.
+#: Words of a unit at most in the SQL, which leaves longer ones out; the operator compares units of any length.
 LONGEST = 400
 
 # Titles, headers and clauses by which licences are stated, by SPDX id. True: shared with others of the family.
@@ -149,14 +149,23 @@ def _best(unit: Column, unknown: float, idf: Column, templates: Column, needed:
     """struct(shared, score (negative), id, unit, n_words) of a unit's licence; null without one, or where two are too near."""
 
     def compare(own: Column) -> Column:
-        different = F.array_distinct(own)
-        weigh = lambda w: F.size(F.filter(own, lambda x: x == w)) * F.coalesce(F.try_element_at(idf, w), F.lit(unknown))
-        vector = F.transform(different, lambda w: F.struct(w.alias("w"), weigh(w).alias("x")))
+        weight = lambda w: F.coalesce(F.try_element_at(idf, w), F.lit(unknown))
+
+        def vector(ordered: Column) -> Column:
+            # Equal words stand together, so a word's count is from its first place to the next word's: no word is compared with all.
+            firsts = F.filter(F.transform(ordered, lambda w, i: F.when((i == 0) | (F.get(ordered, i - 1) != w), i)), lambda i: i.isNotNull())
+            counted = lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("w"), ((F.coalesce(F.get(at, k + 1), F.size(ordered)) - i) * weight(F.get(ordered, i))).alias("x")))
+            return _let(firsts, counted)
 
         def score(v: Column) -> Column:
             size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, t: s + t["x"] * t["x"]))
-            dot = lambda t: F.aggregate(v, F.lit(0.0), lambda s, e: s + e["x"] * F.coalesce(F.try_element_at(t["w"], e["w"]), F.lit(0.0)))
-            return F.transform(templates, lambda t: F.struct((-F.round(dot(t) / size, 9)).alias("score"), t["id"].alias("id"), t["shared"].alias("shared"), t["own"].alias("own")))
+
+            def compared(both: Column) -> Column:
+                dot = lambda t: F.aggregate(both["known"], F.lit(0.0), lambda s, e: s + e["x"] * F.coalesce(F.try_element_at(t["w"], e["w"]), F.lit(0.0)))
+                return F.transform(templates, lambda t: F.struct((-F.round(dot(t) / both["size"], 9)).alias("score"), t["id"].alias("id"), t["shared"].alias("shared"), t["own"].alias("own")))
+
+            # The unit's length once, and only the words that some template has: others add nothing to a product.
+            return _let(F.struct(size.alias("size"), F.filter(v, lambda e: F.try_element_at(idf, e["w"]).isNotNull()).alias("known")), compared)
 
         def choose(each: Column) -> Column:
             def clear(b: Column) -> Column:
@@ -167,7 +176,7 @@ def _best(unit: Column, unknown: float, idf: Column, templates: Column, needed:
 
             return _let(F.array_min(each), clear)
 
-        return F.when(F.arrays_overlap(own, needed) & (F.size(own) <= LONGEST), _let(_let(vector, score), choose))
+        return F.when(F.arrays_overlap(own, needed), _let(_let(_let(F.sort_array(own), vector), score), choose))
 
     return _let(words(unit), compare)
 

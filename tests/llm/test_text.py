@@ -519,3 +519,10 @@ def test_pipeline_odd_tables(spark, odd, sf_dir):
                 assert sorted(r.doc_id for r in rows if r.doc_id in (3, 4)) == [3]
             elif name == "pii":
                 assert len(rows) == df.count() and not any("4111111111111111" in (r.text or "") for r in rows)
+
+
+def test_a_long_paragraph_is_compared_too(spark):
+    """Units have no greatest length: 700 words of a title are still the licence, 20,000 other words are none."""
+    rows = [(1, "a/x.py", " ".join(["released under the MIT license"] * 140)), (2, "b/y.py", " ".join(f"w{k % 9000} license" for k in range(10000)))]
+    df = spark.createDataFrame(rows, "doc_id int, path string, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(df, F.col("path")).collect()} == {1: "MIT", 2: None}
