@@ -417,7 +417,7 @@ _LINKED = """RECURSIVE g AS (SELECT DISTINCT l_orderkey // 256 AS image, l_partk
 def _thresholded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of thresholded images of 20 x 20."""
     items = table(spark, sf_dir, "lineitem").where("l_discount < 0.03")
-    return runs_table.of_pixels(items.select(F.floor(c("l_orderkey") / 256).alias("image"), (c("l_partkey") % 20).alias("x"), (c("l_suppkey") % 20).alias("y")))
+    return runs_table.of_pixels(items.select(F.floor(c("l_orderkey") / 256).alias("image"), (c("l_partkey") % 20).alias("x"), (c("l_suppkey") % 20).alias("y")), whole=False)
 
 
 @query(f"WITH {_LINKED} SELECT image, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(dense_rank() OVER (PARTITION BY image ORDER BY root) AS INTEGER) AS label FROM f")
@@ -489,5 +489,5 @@ def hole_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     wall = (F.least("iy", "ix") < 2) | (F.greatest("iy", "ix") >= c("s") - 2)
     way = (c("odd") == 1) & (c("ix") == 2) & (c("iy") < 2)
     rings = _squares(spark, sf_dir).where(wall & ~way)
-    found = runs_table.fill_holes(runs_table.of_pixels(rings, ["image", "v"]), "image", "v")
+    found = runs_table.fill_holes(runs_table.of_pixels(rings, ["image", "v"], whole=False), "image", "v")
     return found.groupBy("image", "v").agg(F.min("y").alias("min_y"), F.min("x0").alias("min_x"), F.sum(c("x1") - c("x0")).alias("area")).drop("v")

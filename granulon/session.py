@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -62,6 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written once as columns in the shared folder; the files stay, since the result is read from them."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to Python workers that don't have it on their path; once for a session's context."""
     context = spark.sparkContext
