@@ -171,20 +171,22 @@ def at_original(runs: DataFrame, placed: DataFrame, sizes: DataFrame, stride: in
     return joined.groupBy("image_id").applyInPandas(run, RUNS)
 
 
-def polygon_runs(annotations: DataFrame, order: str) -> DataFrame:
+def polygon_runs(annotations: DataFrame, order: str, whole: bool = True) -> DataFrame:
     """Runs of each annotation's polygons: (image_id, order, label, y, x0, x1), label 1; annotations has image_id, h, w, polygons.
 
     Annotations have an order of their own within an image.
     """
-    found = runs_table.of_polygons(annotations, ["image_id", order], "polygons", F.col("h"), F.col("w"))
+    found = runs_table.of_polygons(annotations, ["image_id", order], "polygons", F.col("h"), F.col("w"), whole)
     return found.select("image_id", order, F.lit(1).alias("label"), *[F.col(k).cast("int").alias(k) for k in ("y", "x0", "x1")])
 
 
 def label_map(annotations: DataFrame, order: str) -> DataFrame:
     """(image_id, y, x0, x1, label) of annotations with image_id, h, w, polygons: later ones cover earlier ones, numbered from 1 by what is seen."""
-    seen = runs_table.overlay(polygon_runs(annotations, order), "image_id", order, order)
-    numbers = seen.select("image_id", order).distinct().withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy(order)))
-    return seen.join(numbers, ["image_id", order]).select("image_id", "y", "x0", "x1", "label")
+    seen = runs_table.overlaid(polygon_runs(annotations, order, whole=False), "image_id", order, order)
+    # What a band shows of an annotation is one row until it has its number.
+    parts = seen.groupBy("image_id", "_band", order).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_r"))
+    numbered = parts.withColumn("label", F.dense_rank().over(Window.partitionBy("image_id").orderBy(order)))
+    return numbered.select("image_id", "label", F.explode("_r").alias("_r")).select("image_id", "_r.y", "_r.x0", "_r.x1", "label")
 
 
 def predicted(inputs: DataFrame, predict: Callable[[np.ndarray], Mapping[str, np.ndarray]] | None, side: int, batch: int = 4) -> DataFrame:
