@@ -30,9 +30,9 @@ PIECES = "file string, block bigint, kind string, section string, at bigint, row
 WHOLE, BEGIN, MIDDLE, END = "whole", "begin", "middle", "end"
 
 
-def parts(spark: SparkSession, paths: str | Sequence[str], separator: str) -> DataFrame:
-    """(file, block, file_size, value): what stands between separators, in order within each block of a file."""
-    read = spark.read.option("lineSep", separator).text(paths)
+def parts(spark: SparkSession, paths: str | Sequence[str], separator: str, below: bool = False) -> DataFrame:
+    """(file, block, file_size, value): what stands between separators, in order within each block of a file; below: of all files in folders of any depth."""
+    read = spark.read.option("lineSep", separator).option("recursiveFileLookup", below).text(paths)
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("file_size"), "value")
 
 
@@ -63,13 +63,13 @@ def by_block(rows: DataFrame, make: Callable[[str, int, int], object], schema: s
     return rows.mapInArrow(run, schema)
 
 
-def _folded(summaries: DataFrame, begin: Callable[[str], tuple], step: Callable[[tuple, tuple], tuple]) -> tuple[dict, dict]:
-    """State at the begin of each (file, block), and the state behind each file, from one row a block."""
-    states, last = {}, {}
+def _folded(summaries: DataFrame, begin: Callable[[tuple | None], tuple], step: Callable[[tuple, tuple], tuple]) -> tuple[dict, dict]:
+    """State at the begin of each (file, block), and the state behind each file, from one row a block; begin gets the state behind the file before."""
+    states, last, state = {}, {}, None
     for row in sorted((tuple(r) for r in summaries.collect()), key=lambda r: (r[0], r[1])):  # a row a block
-        state = last.get(row[0]) or begin(row[0])
+        state = state if row[0] in last else begin(state)
         states[row[0], row[1]] = state
-        last[row[0]] = step(state, row)
+        state = last[row[0]] = step(state, row)
     return states, last
 
 
@@ -221,14 +221,15 @@ class _Elements:
         return [self._piece(BEGIN, self.held[start:], self.at + start)]
 
 
-def json_elements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def json_elements(spark: SparkSession, paths: str | Sequence[str], parts_of_one: bool = False) -> DataFrame:
     """(file, section, at, text) of each object in an array that is a member of a file's one object.
 
     A file of any size is read by as many tasks as it has blocks. section is the member's name, at the byte
     where the object begins. Other members have no rows, nor has an empty file. A document that isn't closed
     is an error. Objects are cut out by brackets and quotes alone: what is wrong within one shows when it is parsed.
+    parts_of_one: all files in the folder are one document, one after the other by their names; no object is in two of them.
     """
-    rows = parts(spark, paths, "}")
+    rows = parts(spark, paths, "}", parts_of_one)
     summaries = by_block(rows, _JsonSummary, _JsonSummary.SCHEMA)
 
     def step(state: tuple, row: tuple) -> tuple:
@@ -238,11 +239,19 @@ def json_elements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         section = section if key is None else _whole_key(key, before)
         inside_then = (inside + quotes) % 2
         before = (tail if quotes else before + tail) if inside_then else ""
-        return inside_then, depth + (deep1 if inside else deep0), section, at + size, before, file_size
+        # The last part of a file had no separator behind it where one byte more than the file's was counted.
+        added = parts_of_one and at + size == file_size + 1
+        return inside_then, depth + (deep1 if inside else deep0) + added, section, at + size, before, file_size
 
-    states, last = _folded(summaries, lambda _: (0, 0, None, 0, "", 0), step)
-    for file, (inside, depth, _, at, _, file_size) in last.items():
-        # The last part had no separator behind it where one byte more than the file's was counted.
+    def begin(behind: tuple | None) -> tuple:
+        return (*behind[:3], 0, *behind[4:]) if parts_of_one and behind else (0, 0, None, 0, "", 0)
+
+    states, last = _folded(summaries, begin, step)
+    if parts_of_one:
+        file, (inside, depth, *_) = max(last.items(), default=("", (0, 0)))
+        if inside or depth:
+            raise ValueError(f"{file}: the document isn't closed")
+    for file, (inside, depth, _, at, _, file_size) in () if parts_of_one else last.items():
         if inside or depth != -(at == file_size + 1):
             raise ValueError(f"{file}: the document isn't closed")
     shared = spark.sparkContext.broadcast({k: v[:5] for k, v in states.items()})

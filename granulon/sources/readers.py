@@ -215,17 +215,18 @@ def raw_planes(spark: SparkSession, directory: str, height: int, width: int, pat
     return _from_files(files, one, "image_id string, plane array<float>", stem(F.col("path")))
 
 
-def coco(spark: SparkSession, paths: str | Sequence[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+def coco(spark: SparkSession, paths: str | Sequence[str], lines: bool = False, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(images, annotations) of annotation files, each with its source file; segmentation stays JSON text.
 
     A file's one document is read by as many tasks as the file has blocks, whatever its size. lines: a document in each line.
+    parts: one document in all files of a folder, as sinks.document_parts writes it.
     """
     if lines:
         doc = spark.read.schema(COCO).json(paths).withColumn("source_file", F.input_file_name())
         part = lambda name: doc.select("source_file", F.explode(name).alias("r")).select("source_file", "r.*")
     else:
         element = {f.name: f.dataType.elementType for f in T._parse_datatype_string(COCO)}
-        found = blocks.json_elements(spark, paths)
+        found = blocks.json_elements(spark, paths, parts)
         part = lambda name: found.where(F.col("section") == name).select(F.col("file").alias("source_file"), F.from_json("text", element[name]).alias("r")).select("source_file", "r.*")
     return part("images"), part("annotations")
 

@@ -98,6 +98,28 @@ def one_document(members: Mapping[str, DataFrame], path: str, head: str = "") ->
     rows.repartition(1).sortWithinPartitions("k", "at").select("k", "line").mapInArrow(run, "value string").write.text(path)
 
 
+def document_parts(members: Mapping[str, DataFrame], path: str, head: str = "") -> None:
+    """One JSON document as the files below the folder `path`, which are it one after the other by their names.
+
+    As `one_document`, but every task writes the elements that it has, in no order, each with a comma before it. The first element
+    of a list has none: it is the least one, which is written with the list's begin; of its copies all but one stay. Tables are read
+    three times, nothing is shuffled. blocks.json_elements and readers.coco read such folders with `parts`.
+    """
+    spark = next(iter(members.values())).sparkSession
+    text = "{" + head
+    for k, (name, df) in enumerate(members.items()):
+        lines = df.select(F.to_json("e").alias("value"))
+        first = lines.agg(F.min("value")).first()[0]
+        text += json.dumps(name) + ": [" + (first or "")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{k:03d}-0")
+        if first is not None:
+            same = F.col("value") == first
+            copies = spark.range(lines.where(same).count() - 1).select(F.lit(first).alias("value"))
+            lines.where(~same).unionByName(copies).select(F.concat(F.lit(","), "value")).write.text(f"{path}/{k:03d}-1")
+        text = "], "
+    spark.createDataFrame([("]}",)], "value string").coalesce(1).write.text(f"{path}/{len(members):03d}-0")
+
+
 def report(head: DataFrame, lists: Mapping[str, DataFrame], path: str) -> None:
     """A report as one JSON document in the folder `path`: the members of the head's one row, then the lists, whole."""
     first = head.select(F.to_json(F.struct(*head.columns))).first()[0]
