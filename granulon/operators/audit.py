@@ -26,8 +26,8 @@ def strict_pairs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Rows of child whose key no row of parent has."""
-    return child.join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti").select(*child.columns)
+    """Rows of child whose key no row of parent has. Parents are never broadcast: estimates of a few columns would have it for any number of keys."""
+    return child.join(parent.select(F.col(parent_key).alias(child_key)).hint("merge"), child_key, "left_anti").select(*child.columns)
 
 
 def kept_with(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -37,8 +37,9 @@ def kept_with(child: DataFrame, parent: DataFrame, child_key: str, parent_key: s
 
 def name_differences(a: DataFrame, b: DataFrame, key: str, only_a: str, only_b: str) -> DataFrame:
     """(key, status) of the names that only one side has."""
-    pairs = pair_audit(a, b, key).where("status <> 'paired'")
-    return pairs.select(key, F.when(F.col("status") == "missing", only_a).otherwise(only_b).alias("status"))
+    # By joins of sorted names: no table of all names is held, only what is left of them is made distinct.
+    lost = lambda one, other, status: orphans(one.select(key), other, key, key).distinct().select(key, F.lit(status).alias("status"))
+    return lost(a, b, only_a).unionByName(lost(b, a, only_b))
 
 
 def content_leaks(df: DataFrame, split: Column, content: Column, name: Column) -> DataFrame:
