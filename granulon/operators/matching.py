@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from granulon.functions.scalars import equivalent_diameter, precision_recall_f1, review_required
+from granulon.operators.groups import by_groups
 from granulon.operators.stats import percentile
 
 SMALL_DIAMETER = 32.0
+#: Side of the squares of pixels in which boundaries are found.
+SQUARE = 64
 
 
 def contingency(pixels: DataFrame, image: str, pred: str = "pred", gt: str = "gt") -> DataFrame:
@@ -54,12 +60,29 @@ def boundary(pixels: DataFrame, image: str, label: str, x: str = "x", y: str = "
     What lies outside of the image doesn't make a boundary. pixels holds all pixels of the images.
     """
     c = F.col
-    here = pixels.select(image, c(x).alias("_x"), c(y).alias("_y"), c(label).alias("_l"))
-    # Along rows first, then along columns: each pixel is sent three times and each row's cell three times, not one pixel nine times.
-    step = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
-    rows = here.withColumn("_o", step).groupBy(image, (c("_x") + c("_o")).alias("_x"), "_y").agg(F.min("_l").alias("_lo"), F.max("_l").alias("_hi"))
-    mixed = rows.withColumn("_o", step).groupBy(image, "_x", (c("_y") + c("_o")).alias("_y")).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).where("_lo <> _hi")
-    edge = here.where("_l > 0").join(mixed, [image, "_x", "_y"])
+    # Pixels are shuffled once, to their square of pixels and to the squares that they are next to.
+    at = lambda v: F.explode(F.array_distinct(F.array(*[F.floor((c(v) + d) / SQUARE) for d in (0, -1, 1)])))
+    here = pixels.where(c(label).isNotNull()).select(image, c(x).alias("_x"), c(y).alias("_y"), c(label).alias("_l"))
+    dealt = here.withColumn("_cx", at("_x")).withColumn("_cy", at("_y")).repartition(image, "_cx", "_cy")
+    schema = here.schema
+
+    def found(rows: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        cx, cy, px, py, value = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("_cx", "_cy", "_x", "_y", "_l"))
+        side = SQUARE + 2
+        dx, dy = px - cx * SQUARE, py - cy * SQUARE
+        place = (group * side + dy + 1) * side + dx + 1  # rises from row to row
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        where, low, high = place[first], np.minimum.reduceat(value, first), np.maximum.reduceat(value, first)
+        least, most = low.copy(), high.copy()
+        for step in (-side - 1, -side, 1 - side, -1, 1, side - 1, side, side + 1):
+            near = np.searchsorted(where, where + step).clip(max=len(where) - 1)
+            met = where[near] == where + step
+            least[met], most[met] = np.minimum(least, low[near])[met], np.maximum(most, high[near])[met]
+        mixed = np.repeat(least != most, np.diff(np.append(first, len(place))))
+        own = (dx >= 0) & (dx < SQUARE) & (dy >= 0) & (dy < SQUARE)
+        return rows.select(schema.names).filter(pa.array(mixed & own & (value > 0)))
+
+    edge = by_groups(dealt, (image, "_cx", "_cy"), ("_y", "_x"), found, schema)
     return edge.select(image, c("_l").alias(label), c("_x").alias(x), c("_y").alias(y))
 
 
