@@ -61,10 +61,13 @@ def kept_in_order(nodes: DataFrame, edges: DataFrame, group: str, node: str, ran
     neighbours that come one after the other has pairs. Nodes without links stay and never enter a round. Null ranks come last.
     """
     names = nodes.select(group, node)
-    place = nodes.select(group, F.col(node).alias("_n"), F.struct(rank.isNull().alias("o"), (-rank).alias("r"), F.col(node).alias("i")).alias("_p"))
+    # Few nodes have links: only their places are joined to these, and all nodes stream past them unsorted.
+    links = cut(edges.select(group, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+    ends = links.select(group, F.explode(F.array(a, b)).alias("_n")).distinct()
+    ranked = nodes.select(group, F.col(node).alias("_n"), rank.alias("_r")).join(ends.hint("shuffle_hash"), [group, "_n"], "left_semi")
+    place = cut(ranked.select(group, "_n", F.struct(F.col("_r").isNull().alias("o"), (-F.col("_r")).alias("r"), F.col("_n").alias("i")).alias("_p")))
     at = lambda df, end, name: df.join(place.withColumnsRenamed({"_n": end, "_p": name}), [group, end])
-    open_ = edges.select(group, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    open_ = cut(at(at(open_, a, "pa"), b, "pb").select(group, F.least("pa", "pb").alias("first"), F.greatest("pa", "pb").alias("last")).distinct())
+    open_ = cut(at(at(links, a, "pa"), b, "pb").select(group, F.least("pa", "pb").alias("first"), F.greatest("pa", "pb").alias("last")).distinct())
     dropped = None
     while not open_.isEmpty():
         # Before all open neighbours: first of some links and last of none.
@@ -76,4 +79,4 @@ def kept_in_order(nodes: DataFrame, edges: DataFrame, group: str, node: str, ran
         open_ = cut(rest)
     if dropped is None:
         return names
-    return names.join(dropped.select(group, F.col("p.i").alias(node)), [group, node], "left_anti")
+    return names.join(dropped.select(group, F.col("p.i").alias(node)).hint("shuffle_hash"), [group, node], "left_anti")

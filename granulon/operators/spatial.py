@@ -137,15 +137,15 @@ def cross_tile_candidates(parts: DataFrame, image: str, particle: str, iou: floa
 
     parts: (image, particle, x, y, w, h, tile_x, tile_y) in image coordinates. Detections of the same tile
     only pair in compat mode. Of a pair, the one with the farther reach is sent to all cells that its reach touches, and
-    meets the other in the cell of its centre. Cells are twice as wide as what reaches across them, so a box is in two or three of
-    them; boxes of a farther reach meet in wider cells, to which the others are sent too if such boxes occur at all.
+    meets the other in the cell of its centre. Cells are four times as wide as what reaches across them, so most boxes are in one
+    or two of them; boxes of a farther reach meet in wider cells, to which the others are sent too if such boxes occur at all.
     """
     # Boxes whose IoU is above the limit have centres no further apart than their sides.
     c = F.col
     reach, px, py = F.greatest(F.lit(float(distance)), "w", "h"), c("x") + c("w") / 2, c("y") + c("h") / 2
     level = F.greatest(F.lit(0), F.ceil(F.log2(reach / (2 * distance)) / 2)).cast("int")
     levels = sorted(r[0] for r in parts.select(level.alias("l")).distinct().collect() if r[0] is not None)  # a few whole numbers
-    side = F.lit(4.0 * distance) * F.pow(F.lit(4.0), c("level"))
+    side = F.lit(8.0 * distance) * F.pow(F.lit(4.0), c("level"))
     touched = lambda p: F.explode(F.sequence(F.floor((p - reach) / side), F.floor((p + reach) / side)))
     names = [particle, "x", "y", "w", "h", "tile_x", "tile_y"]
     of = lambda df, k: df.select(image, "level", "cx", "cy", *[c(n).alias(k + n) for n in names])
