@@ -407,24 +407,40 @@ def numbered_csv(spark: SparkSession, paths: str | Sequence[str], fields: Sequen
     headers = {file: [c.removeprefix("\ufeff") if i == 0 else c for i, c in enumerate(_cells((state[3] or "").removeprefix("\ufeff")))] for (file, _), state in states.items()}
     fields = list(fields) if fields is not None else sorted({c for h in headers.values() for c in h})
     shared = spark.sparkContext.broadcast((states, headers))
-    found = by_block(rows, lambda file, block, _: _Records(file, block, shared.value[0][file, block]), PIECES)
-    records = found.where(F.col("kind") == WHOLE).select("file", "at", "row", "text")
-    if spanning:
-        records = records.unionByName(_joined(found.where(F.col("kind") != WHOLE)).select("file", "at", "row", "text"))
     schema = "struct<" + ",".join(f"`{f}`:string" for f in fields) + ("," if fields else "") + "_reason:string,_surplus:array<string>>"
-    out = to_arrow_schema(_parse_datatype_string(f"_file string, _line bigint, _row bigint, r {schema}"))
+
+    def cells_of(file: str, text: str) -> dict:
+        names, cells = shared.value[1][file], _cells(text)
+        own, extra = dict(zip(names, cells)), cells[len(names) :]
+        reason = "too many cells" if extra else "too few cells" if len(cells) < len(names) else None
+        return {f: own.get(f) for f in fields} | {"_reason": reason, "_surplus": extra or None}
+
+    class Parsed(_Records):
+        """Whole records as cells at once, so that a task needs no second Python worker; the others as pieces."""
+
+        def __init__(self, file: str, block: int, _: int):
+            csv.field_size_limit(2**31 - 1)
+            super().__init__(file, block, shared.value[0][file, block])
+
+        def feed(self, values: list[str]) -> list[tuple]:
+            return [(*p[:6], None, cells_of(p[0], p[6])) if p[2] == WHOLE else (*p, None) for p in super().feed(values)]
+
+        def end(self) -> list[tuple]:
+            return [(*p, None) for p in super().end()]
+
+    found = by_block(rows, Parsed, f"{PIECES}, r {schema}")
+    names = [F.col("file").alias("_file"), F.col("at").alias("_line"), F.col("row").alias("_row")]
+    records = found.where((F.col("kind") == WHOLE) & (F.col("row") > 1)).select("r.*", *names)
+    if not spanning:
+        return records
+    out = to_arrow_schema(_parse_datatype_string(f"file string, at bigint, row bigint, r {schema}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(2**31 - 1)
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            for file, at, row, text in zip(*(c.to_pylist() for c in batch.columns)):
-                names, cells = shared.value[1][file], _cells(text)
-                own = dict(zip(names, cells))
-                extra = cells[len(names) :]
-                reason = "too many cells" if extra else "too few cells" if len(cells) < len(names) else None
-                for column, value in zip(columns, (file, at, row, {f: own.get(f) for f in fields} | {"_reason": reason, "_surplus": extra or None})):
-                    column.append(value)
+            file, at, row, text = (c.to_pylist() for c in batch.columns)
+            columns = file, at, row, [cells_of(*one) for one in zip(file, text)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, out)], schema=out)
 
-    return records.where("row > 1").mapInArrow(run, f"_file string, _line bigint, _row bigint, r {schema}").select("r.*", "_file", "_line", "_row")
+    cut = _joined(found.where(F.col("kind") != WHOLE)).where("row > 1").select("file", "at", "row", "text")
+    return records.unionByName(cut.mapInArrow(run, f"file string, at bigint, row bigint, r {schema}").select("r.*", *names))
