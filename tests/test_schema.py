@@ -5,6 +5,7 @@ import json
 import pytest
 
 from granulon.operators import schema
+from granulon.plans import recipes
 
 OBJECT = {"properties": {"a": {"type": "integer"}, "b c": {"type": "string"}}}
 REF = {"$defs": {"side": {"type": "integer", "minimum": 1}}, "properties": {"w": {"$ref": "#/$defs/side"}, "h": {"$ref": "#/$defs/side"}}}
@@ -45,6 +46,40 @@ def test_keywords(spark):
     assert not wrong
 
 
+# What columns of named places might get wrong: places that aren't objects, deep ones, names of all kinds, a place that is looked at twice.
+DEEP = {"type": "object", "properties": {"a": {"type": "object", "required": ["b"], "properties": {"b": {"type": "object", "additionalProperties": False, "properties": {"c": {"enum": [1, "x", None, True]}}}}}}}
+MORE = [
+    (DEEP, "[]", ["$ type"]), (DEEP, "null", ["$ type"]), (DEEP, "{}", []), (DEEP, '{"a": null}', ["$.a type"]), (DEEP, '{"a": "x"}', ["$.a type"]), (DEEP, '{"a": {}}', ["$.a.b required"]), (DEEP, '{"a": {"b": 1}}', ["$.a.b type"]),
+    (DEEP, '{"a": {"b": {"c": false, "d": {}, "e": [1]}}}', ["$.a.b.c enum", "$.a.b.d additionalProperties", "$.a.b.e additionalProperties"]), (DEEP, '{"a": {"b": {"c": null}}}', []), (DEEP, '{"a": {"b": {"c": {}}}}', ["$.a.b.c enum"]), (DEEP, '{"a": {"b": {"c": "x"}}}', []),
+    ({"properties": {"a.b": {"minimum": 1}, "A.B": {"minimum": 2}, "é ü": {"maxLength": 1}}}, '{"a.b": 0, "A.B": 1, "é ü": "xy"}', ["$.A.B minimum", "$.a.b minimum", "$.é ü maxLength"]),
+    ({"properties": {"it's": {"properties": {"`": {"type": "null"}, "": {"type": "null"}}}}}, '{"it\'s": {"`": 1, "": 1}}', ["$.it's. type", "$.it's.` type"]),
+    ({"properties": {"a": {"type": "object"}}, "allOf": [{"properties": {"a": {"required": ["x"], "enum": [1]}}}]}, '{"a": {}}', ["$.a enum", "$.a.x required"]),
+    ({"properties": {"a": {"properties": {"x": False}, "not": {"type": "object"}, "oneOf": [{"required": ["y"]}, {"minimum": 0}, False]}}}, '{"a": {"x": 1}}', ["$.a not", "$.a.x false"]),
+    ({"properties": {"a": {"anyOf": [{"required": ["y"]}, {"additionalProperties": False}]}}}, '{"a": {"x": 1}}', ["$.a anyOf"]), ({"properties": {"a": {"anyOf": [{"required": ["y"]}, {"additionalProperties": False}]}}}, '{"a": {}}', []),
+]
+
+
+def test_many_documents_have_the_violations_of_one(spark):
+    by = {}
+    for k, (rules, text, _) in enumerate([*CASES, *MORE]):
+        by.setdefault(json.dumps(rules), []).append((k, text, "other"))
+    got = {k: [] for k in range(len(CASES) + len(MORE))}
+    for rules, rows in by.items():
+        documents = spark.createDataFrame([*rows, (-1, None, "null")], "_v int, `a document` string, _x string")
+        for r in schema.violated(documents, "a document", json.loads(rules)).collect():
+            assert r._x == "other"
+            got[r._v].append(f"{r.path} {r.rule}")
+    wrong = [(c, got[k]) for k, c in enumerate([*CASES, *MORE]) if sorted(got[k]) != sorted(c[2])]
+    assert not wrong
+
+
+def test_checks_of_many_documents_are_not_interpreted(spark, sf_dir):
+    plan = recipes.recipe_schema_check(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    # Spark interprets what is in an explode, if a function over an array is anywhere in it: no check may be.
+    assert not [line for line in plan.splitlines() if "Generate" in line and ("parseJson" in line or "CASE WHEN" in line)]
+
+
 def test_a_null_document_violates_nothing(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(schema.violations("t", {"type": "object"}).alias("v")).first().v == []
