@@ -181,12 +181,14 @@ def polygon_runs(annotations: DataFrame, order: str, whole: bool = True) -> Data
 
 
 def label_map(annotations: DataFrame, order: str) -> DataFrame:
-    """(image_id, y, x0, x1, label) of annotations with image_id, h, w, polygons: later ones cover earlier ones, numbered from 1 by what is seen."""
-    seen = runs_table.overlaid(polygon_runs(annotations, order, whole=False), "image_id", order, order)
+    """(image_id, y, x0, x1, label) of annotations with image_id, h, w, polygons: later ones cover earlier ones, numbered from 1 by what is seen.
+
+    Rows of one image and order are one annotation.
+    """
+    lists = runs_table.filled(annotations, ["image_id", order], "polygons", F.col("h"), F.col("w"), whole=False, kind="int")
     # What a band shows of an annotation is one row until it has its number.
-    parts = seen.groupBy("image_id", "_band", order).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_r"))
-    numbered = parts.withColumn("label", F.dense_rank().over(Window.partitionBy("image_id").orderBy(order)))
-    return numbered.select("image_id", "label", F.explode("_r").alias("_r")).select("image_id", "_r.y", "_r.x0", "_r.x1", "label")
+    numbered = runs_table.overlaid(lists, "image_id", order).withColumn("label", F.dense_rank().over(Window.partitionBy("image_id").orderBy(order)))
+    return numbered.select("image_id", "label", F.inline(F.arrays_zip("y", "x0", "x1")).alias("y", "x0", "x1")).select("image_id", "y", "x0", "x1", "label")
 
 
 def predicted(inputs: DataFrame, predict: Callable[[np.ndarray], Mapping[str, np.ndarray]] | None, side: int, batch: int = 4) -> DataFrame:

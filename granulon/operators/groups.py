@@ -21,11 +21,15 @@ def changes(rows: pa.RecordBatch, by: Sequence[str]) -> np.ndarray:
     return found
 
 
-def by_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], found: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
-    """found(rows, group number of each) of whole groups, in order within each; rows are partitioned by the keys or some of them."""
+def by_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], found: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType | str, most: int | None = None) -> DataFrame:
+    """found(rows, group number of each) of whole groups, in order within each; rows are partitioned by the keys or some of them.
+
+    With `most`, found gives rows of its own kind and takes them again before further ones: a group of more rows is held as what is found of them so far.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the group that isn't whole yet
+        limit = most
         whole = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         numbered = lambda parts: found(parts, np.cumsum(changes(parts, keys)))
         for batch in batches:
@@ -36,8 +40,12 @@ def by_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], found:
             if len(turns):
                 yield numbered(whole([r for r in [*held, batch.slice(0, turns[-1])] if len(r)]))
                 held = [batch.slice(turns[-1])]
+                limit = most
             else:
                 held.append(batch)
+            if limit and sum(map(len, held)) > limit:
+                held = [numbered(whole(held))]
+                limit = max(most, 2 * len(held[0]))
         if held:
             yield numbered(whole(held))
 

@@ -123,7 +123,7 @@ def polygon_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label maps of squares that cover one another, as runs; a square without a visible pixel has no number."""
     x, y, side = c("l_partkey") % 40, c("l_suppkey") % 40, 4 + c("l_linenumber")
     items = table(spark, sf_dir, "lineitem").select(F.floor(c("l_orderkey") / 16).alias("image_id"), ((c("l_orderkey") % 16) * 100 + c("l_linenumber")).alias("o"), F.array(x, y, x + side, y, x + side, y + side, x, y + side).alias("p"))
-    rows = items.groupBy("image_id", "o").agg(F.collect_set("p").alias("polygons")).withColumn("h", F.lit(64)).withColumn("w", F.lit(64))
+    rows = items.select("image_id", "o", F.array("p").alias("polygons"), F.lit(64).alias("h"), F.lit(64).alias("w"))
     found = flows.label_map(rows, "o")
     n = c("x1") - c("x0")
     sums = found.groupBy("image_id", "label").agg(F.sum(n).alias("n"), F.sum(((c("x0") + c("x1") - 1) * n / 2).cast("bigint")).alias("sum_x"), F.sum(c("y") * n).alias("sum_y"))
