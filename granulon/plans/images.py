@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -445,42 +444,52 @@ _SQUARES = (
 )
 
 
-def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, y, x, v, iy, ix, s, odd): the pixels of the squares; v is the cell's number, iy and ix count from the square's corner."""
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y0, x0, s, odd, v): a row for each square; v is its cell's number."""
     items = table(spark, sf_dir, "lineitem").select(F.floor(c("l_orderkey") / 64).alias("image"), (c("l_suppkey") % 5 * 12).alias("y0"), (c("l_partkey") % 5 * 12).alias("x0"), "l_quantity", "l_linenumber")
     cells = items.groupBy("image", "y0", "x0").agg((F.min("l_quantity").cast("bigint") % 5 + 6).alias("s"), (F.sum("l_linenumber") % 2).alias("odd"))
+    return cells.withColumn("v", (c("y0") / 12 * 5 + c("x0") / 12 + 1).cast("int"))
+
+
+def _squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, x, v, iy, ix, s, odd): the pixels of the squares; v is the cell's number, iy and ix count from the square's corner."""
     side = F.sequence(F.lit(0), c("s").cast("int") - 1)
-    pixels = cells.withColumn("iy", F.explode(side)).withColumn("ix", F.explode(side))
-    return pixels.select("image", (c("y0") + c("iy")).alias("y"), (c("x0") + c("ix")).alias("x"), (c("y0") / 12 * 5 + c("x0") / 12 + 1).cast("int").alias("v"), "iy", "ix", "s", "odd")
+    pixels = _cells(spark, sf_dir).withColumn("iy", F.explode(side)).withColumn("ix", F.explode(side))
+    return pixels.select("image", (c("y0") + c("iy")).alias("y"), (c("x0") + c("ix")).alias("x"), "v", "iy", "ix", "s", "odd")
+
+
+def _square_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, y, x0, x1, v, odd): the rows of the squares, partitioned by image."""
+    # A cell is a short row and long work: as many tasks as there are partitions, whatever few bytes they hold.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = _cells(spark, sf_dir).repartition(tasks, "image")
+    return cells.select("image", F.explode(F.sequence("y0", c("y0") + c("s") - 1)).alias("y"), "x0", (c("x0") + c("s")).alias("x1"), "v", "odd")
 
 
 def _measured_squares(found: DataFrame) -> DataFrame:
-    return found.groupBy("image", "label").agg(F.min("y").cast("bigint").alias("min_y"), F.min("x").cast("bigint").alias("min_x"), F.count("*").alias("area")).drop("label")
+    return found.groupBy("image", "label").agg(F.min("y").cast("bigint").alias("min_y"), F.min("x0").cast("bigint").alias("min_x"), F.sum(c("x1") - c("x0")).alias("area")).drop("label")
 
 
 @query(f"SELECT image, min_y, min_x, s * s AS area FROM ({_SQUARES})")
 def euler_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances found again by following the flow of each image's squares."""
 
-    def again(pdf: pd.DataFrame) -> np.ndarray:
-        labels = raster.to_array(pdf, "v").astype(np.int32)
-        dy, dx = raster.flow_of_masks(labels)
-        return raster.postprocess(5 * dy, 5 * dx, np.where(labels > 0, 5.0, -5.0), least=20)
+    def again(images: list[list[np.ndarray]]) -> list[np.ndarray]:
+        maps = [labels for (labels,) in images]
+        return raster.postprocessed([(5 * dy, 5 * dx, np.where(labels > 0, 5.0, -5.0)) for labels, (dy, dx) in zip(maps, raster.flows_of_masks(maps))], least=20)
 
-    return _measured_squares(raster.by_image(_squares(spark, sf_dir).select("image", "y", "x", "v"), "image", again))
+    return _measured_squares(raster.by_images(_square_runs(spark, sf_dir), "image", ["v"], again))
 
 
 @query(f"SELECT image, min_y, min_x, s * s AS area FROM ({_SQUARES}) WHERE odd = 0")
 def flow_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The odd squares have a constant flow, which isn't theirs, and go; the others have their own and stay."""
 
-    def checked(pdf: pd.DataFrame) -> np.ndarray:
-        labels = raster.to_array(pdf, "v").astype(np.int32)
-        odd = raster.to_array(pdf, "odd") > 0
-        dy, dx = raster.flow_of_masks(labels)
-        return raster.drop_bad_flow(labels, np.where(odd, 5.0, 5 * dy), np.where(odd, 5.0, 5 * dx))
+    def checked(images: list[list[np.ndarray]]) -> list[np.ndarray]:
+        flows = raster.flows_of_masks([labels for labels, _ in images])
+        return raster.drop_bad_flows([(labels, np.where(odd > 0, 5.0, 5 * dy), np.where(odd > 0, 5.0, 5 * dx)) for (labels, odd), (dy, dx) in zip(images, flows)])
 
-    return _measured_squares(raster.by_image(_squares(spark, sf_dir).select("image", "y", "x", "v", "odd"), "image", checked))
+    return _measured_squares(raster.by_images(_square_runs(spark, sf_dir), "image", ["v", "odd"], checked))
 
 
 @query(f"SELECT image, min_y, min_x, CASE WHEN odd = 0 THEN s * s ELSE s * s - (s - 4) * (s - 4) - 2 END AS area FROM ({_SQUARES})")
